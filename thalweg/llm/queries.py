@@ -7,7 +7,13 @@ import importlib
 #: query name -> module that holds its function; SQL is the module's SQL, where it has one.
 MODULES = {
     "op1_secret_scan": "secrets",
+    "op2_exact_top_k": "topk",
     "op3_toxicity": "toxicity",
+    "op4_media_columns": "media",
+    "op6_best_fit_packing": "packing",
+    "op7_budget_mix": "mixing",
+    "op8_line_dedup": "lines",
+    "op10_token_files": "tokenfiles",
 }
 
 
