@@ -13,6 +13,7 @@ MODULES = {
     "op6_best_fit_packing": "packing",
     "op7_budget_mix": "mixing",
     "op8_line_dedup": "lines",
+    "op9_ngram_jaccard": "near",
     "op10_token_files": "tokenfiles",
 }
 
