@@ -1,15 +1,68 @@
-"""Corpus pipeline: toxicity, line dedup, near duplicates, mixing, packing."""
+"""Corpus pipeline: toxicity, line dedup, near duplicates, mixing, packing.
+
+Each stage works on all that the one before it kept. All but the last return the columns of
+documents: doc_id, text, lang, source, n_chars.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from thalweg.llm import common, lines, mixing, near, packing, toxicity
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that the toxicity model scores below its threshold."""
+    model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, keep=COLUMNS[1:])
+    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops repeated long lines; documents stay, with what is left of their text and its length."""
+    out = lines.dedup(docs, keep=COLUMNS[2:4])
+    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, the least id, of each class of five-word shingles at 80 percent.
+
+    Rows with null ids, and documents without words, are classes of their own.
+    """
+    classes = near.similar_classes(docs, 5, 80).where("doc_id is not null and component_id <> doc_id").select("doc_id").distinct()
+    return common.keyed(docs, *COLUMNS).join(classes, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the budget mix takes it: none, once, twice or three times."""
+    plan = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
+    rows = common.keyed(docs, *COLUMNS).alias("d").join(plan.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("p.copies")))).select(*[f"d.{c}" for c in COLUMNS])
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all that is left into sequences of 4096 tokens."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_lines),
+    ("near copies", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
+#: Tokens, trained scores and fitted budgets are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages in order over documents, each one's result written to the shared folder and read again."""
+    docs = common.table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,6 +10,7 @@ MODULES = {
     "op2_exact_top_k": "topk",
     "op3_toxicity": "toxicity",
     "op4_media_columns": "media",
+    "op5_language_score": "language",
     "op6_best_fit_packing": "packing",
     "op7_budget_mix": "mixing",
     "op8_line_dedup": "lines",
