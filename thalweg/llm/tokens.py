@@ -7,7 +7,7 @@ import os
 import numpy as np
 
 #: Pieces in each of the two generations of a worker's cache.
-CACHE = 150_000
+CACHE = 450_000
 
 _loaded: dict[tuple[str, bool], "Encoder"] = {}
 
