@@ -95,8 +95,8 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 class ShardWriter:
     """Streams ids into a new file; the file gets its name only when it is complete."""
 
-    def __init__(self, uri: str, end: int):
-        self.uri, self.end = uri, end
+    def __init__(self, uri: str, end: int, width: int = 4):
+        self.uri, self.end, self.width = uri, end, width
         self.fs, self.path = _open(uri)
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.out = self.fs.open_output_stream(self.path + ".part")
@@ -111,7 +111,7 @@ class ShardWriter:
             self.repeats.append(self.repeats[-1] + 1 if self.keys and self.keys[-1] == k else 0)
             self.keys.append(k)
         self.lengths.append(np.array([len(x) for x in ids], np.int64))
-        self.out.write(b"".join(x.astype("<u4").tobytes() for x in ids))
+        self.out.write(b"".join(x.astype(f"<u{self.width}").tobytes() for x in ids))
 
     def close(self) -> tuple[int, int]:
         lengths = np.concatenate(self.lengths)
@@ -124,7 +124,7 @@ class ShardWriter:
         prints[slot], first[slot], count[slot] = (b & np.uint64(0xFFFFFFFF)), starts, lengths
         index = b"".join(x.tobytes() for x in (mph.words, mph.before, mph.rest.astype("<u8"), prints, first, count))
         sizes = mph.sizes + [0] * (LEVELS - len(mph.sizes))
-        footer = struct.pack(f"<{10 + LEVELS}Q", 1, total, n, len(mph.sizes), len(mph.words), len(mph.rest), self.end, len(MAGIC) + 4 * total, 0, zlib.crc32(index), *sizes)
+        footer = struct.pack(f"<{10 + LEVELS}Q", 1, total, n, len(mph.sizes), len(mph.words), len(mph.rest), self.end, len(MAGIC) + self.width * total, self.width, zlib.crc32(index), *sizes)
         self.out.write(index + footer + MAGIC)
         self.out.close()
         self.fs.move(self.path + ".part", self.path)
@@ -141,7 +141,7 @@ class Shard:
         tail = self.file.read_at(FOOTER, size - FOOTER)
         if tail[-len(MAGIC) :] != MAGIC:
             raise ValueError(f"{uri} is no token-id shard")
-        self.version, self.n_ids, self.n, levels, words, rest, self.end, at, _, crc, *sizes = struct.unpack(f"<{10 + LEVELS}Q", tail[: -len(MAGIC)])
+        self.version, self.n_ids, self.n, levels, words, rest, self.end, at, self.width, crc, *sizes = struct.unpack(f"<{10 + LEVELS}Q", tail[: -len(MAGIC)])
         index = self.file.read_at(size - FOOTER - at, at)
         if zlib.crc32(index) != crc:
             raise ValueError(f"{uri}: its index is damaged")
@@ -162,7 +162,7 @@ class Shard:
         return np.where(ok, self.first[slot].astype(np.int64), -1), np.where(ok, self.count[slot].astype(np.int64), 0)
 
     def ids(self, first: int, count: int) -> np.ndarray:
-        return np.frombuffer(self.file.read_at(4 * count, len(MAGIC) + 4 * first), "<u4")
+        return np.frombuffer(self.file.read_at(self.width * count, len(MAGIC) + self.width * first), f"<u{self.width}").astype("<u4")
 
 
 def write_shards(docs: DataFrame, folder: str, path: str, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -178,12 +178,13 @@ def write_shards(docs: DataFrame, folder: str, path: str, end: int = END, key: s
 
     def run(batches, schema):
         task, writer, enc = TaskContext.get(), None, encoder(path, True)
+        width = 2 if max(enc.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else 4
         uri = f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.ids"
         for b in batches:
             for k in range(0, len(b), 256):
                 part = b.slice(k, 256)
                 if len(part):
-                    writer = writer or ShardWriter(uri, end)
+                    writer = writer or ShardWriter(uri, end, width)
                     ids = enc.encode([t or "" for t in part.column(1).to_pylist()])
                     writer.add(part.column(0).to_pylist(), [np.append(x, np.uint32(end)) for x in ids])
         if writer:
