@@ -2,49 +2,73 @@
 
 from __future__ import annotations
 
+import codecs
 import os
+import re
+from array import array
 
 import numpy as np
 
 #: Pieces in each of the two generations of a worker's cache.
 CACHE = 450_000
 
-#: Stands between pieces that are encoded in one call, and how many those are.
-MARK, TOGETHER = "\x01", 64
+#: A word and the signs after it. The letters are those below U+0130 that lower-case to one letter.
+PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-į]+)([!-&(-/:-@\\[-`{-~]*)")
+
+#: White space of more than one character.
+WIDE = re.compile(r"\s\s")
 
 _loaded: dict[tuple[str, bool], "Encoder"] = {}
 
 
+class Pieces(dict):
+    """Piece to ids as bytes; a piece that is missing comes from the older generation or is made."""
+
+    def __init__(self, make, old: dict[str, bytes]):
+        self.make, self.old = make, old
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)  # get() makes nothing
+        if ids is None:
+            ids = self.make(piece)
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Ids of Tokenizer.encode(text, add_special_tokens=False).
 
     Both vocabularies pre-tokenize so that no token spans the place before a space that a non-space
     follows. A text is therefore cut there and each distinct piece is encoded once and remembered;
-    pieces that begin with white space stay with the one before them.
+    pieces that begin with white space stay with the one before them. A line end that no white space
+    touches is a pre-token of its own.
 
-    Where white space has no tokens, a sign after a letter at a piece's end is cut off: it is a token
-    of its own, and the piece without it is met more often.
+    A piece that is a word of plain letters and then signs is two pre-tokens, the word and all its
+    signs. Both expressions that find pre-tokens, and normalization, leave such a word whole (but for
+    its case), so it goes to the library's model directly, and is remembered without its signs as
+    well. All other pieces, and the signs, go through the whole tokenizer.
 
     keep_space: the piece keeps its space (byte-level vocabularies); else white space has no tokens.
     """
 
     def __init__(self, path: str, keep_space: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer, self.keep_space = Tokenizer.from_file(path), keep_space
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.signs = {} if keep_space else {c: self._each([c])[0] for c in ",.;:!?"}
-        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 and not keep_space else None
-        self.simple = Tokenizer.from_file(path)
-        self.simple.normalizer = normalizers.Sequence([])
-        self.simple.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.model = self.tokenizer.model
+        self.known = Pieces(self._make, {})
+        self.model._resize_cache(0)  # words that come here are new
+        # The byte-level alphabet: printable bytes stand for themselves, the others follow U+0100 in order.
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [b for b in range(256) if b not in shown]
+        self.alphabet = "".join(chr(b if b in shown else 256 + hidden.index(b)) for b in range(256))
 
     def pieces(self, text: str) -> list[str]:
         if not self.keep_space:
             return text.replace("\n", " ").split(" ")
+        if not WIDE.search(text) and "\0" not in text:
+            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         parts = text.split(" ")
         out = [parts[0]]
         for p in parts[1:]:
@@ -54,56 +78,34 @@ class Encoder:
                 out[-1] += " " + p
         return out
 
-    def _each(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _together(self, pieces: list[str]) -> list[bytes]:
-        """Ids of words of letters below U+0130, from one call.
-
-        Each is one pre-token whatever the expression that finds them, and NFC leaves it as it is, so
-        lower case is all that is left to do. White space parts them; MARK's id shows where.
-        """
-        text = f" {MARK} ".join(pieces).lower()
-        ids = np.array(self.simple.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        raw, ends = ids.tobytes(), [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-        return [raw[4 * a : 4 * b] for a, b in zip([0, *[x + 1 for x in ends]], ends)]
-
-    def _learn(self, unknown: set[str]) -> None:
-        """Puts the ids of pieces that neither generation holds into the new one."""
-        new, old, signs = self.new, self.old, self.signs
-        # Letters below U+0130 neither change their class when lower-cased nor compose with a sign.
-        ended = [p for p in unknown if p[-1:] in signs and p[-2:-1].isalpha() and p[-2] < "\u0130"]
-        plain = unknown.difference(ended)
-        for p in ended:
-            if p[:-1] not in new:
-                if p[:-1] in old:
-                    new[p[:-1]] = old[p[:-1]]
-                else:
-                    plain.add(p[:-1])
-        joined = [] if self.mark is None else [p for p in plain if p.isalpha() and max(p) < "\u0130"]
-        apart = list(plain.difference(joined))
-        for some, step, ids in ((apart, 4096, self._each), (joined, TOGETHER, self._together)):
-            for k in range(0, len(some), step):
-                new.update(zip(some[k : k + step], ids(some[k : k + step])))
-        for p in ended:
-            new[p] = new[p[:-1]] + signs[p[-1]]
+    def _whole(self, piece: str) -> bytes:
+        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of plain letters, which are one pre-token, and of the space before them."""
+        raw = word if self.keep_space else word.lower()
+        shown = codecs.charmap_decode(raw.encode(), "strict", self.alphabet)[0]
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _make(self, piece: str) -> bytes:
+        found = PLAIN.fullmatch(piece)
+        if found:
+            word, signs = found.groups()
+            return self.known[word] + self.known[signs] if signs else self._word(word)
+        if self.keep_space and "\n" in piece:
+            lines = piece.split("\n")
+            if all(x and not x[-1].isspace() and (k == 0 or not x[0].isspace()) for k, x in enumerate(lines)):
+                return self.known["\n"].join([self.known[x] for x in lines])
+        return self._whole(piece)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One uint32 array of ids for each text."""
-        cut = [self.pieces(t) for t in texts]
-        new, old = self.new, self.old
-        need = {p for ps in cut for p in ps}.difference(new)
-        unknown = set()
-        for p in need:
-            if p in old:
-                new[p] = old[p]
-            else:
-                unknown.add(p)
-        if unknown:
-            self._learn(unknown)
-        out = [np.frombuffer(b"".join([new[p] for p in ps]), "<u4") for ps in cut]
-        if len(new) > CACHE:
-            self.old, self.new = new if len(new) <= 2 * CACHE else {}, {}
+        out = []
+        for text in texts:
+            out.append(np.frombuffer(b"".join(map(self.known.__getitem__, self.pieces(text))), "<u4"))
+            if len(self.known) > CACHE:
+                self.known.old = {}
+                self.known = Pieces(self._make, self.known if len(self.known) <= 2 * CACHE else {})
         return out
 
 
