@@ -229,3 +229,16 @@ def test_cached_pieces_equal_whole_encoding():
         path = public_tokenizers.path(name)
         t = Tokenizer.from_file(path)
         assert [x.tolist() for x in tokens.Encoder(path, keep).encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+@pytest.mark.parametrize("name, keep", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_direct_words_equal_whole_encoding(monkeypatch, name, keep):
+    """Letters, signs, line ends, white space and digits in any order; the cache's generations turn over."""
+    monkeypatch.setattr(tokens, "CACHE", 50)
+    r = random.Random(11)
+    parts = ["Ab", "don't", "'s", "é", "ÑU", "İ", "ß", "ﬁ", "µ", "ª", "×", "你好", "e\u0301", "12", "a1", ",", ".%%%", "<|endoftext|>", "\n", "\r\n", "\t", " ", "  ", "\0", "\x01", "\x1c", "\x85", "\u3000", "\u200d", "Ā", "į", "ı"]
+    texts = ["", " ", "\n", "a\n", "\na", "a.\nb, c", "a \nb", "a\n\nb"] + ["".join(r.choice(parts) + r.choice(["", " ", "\n"]) for _ in range(r.randint(1, 12))) for _ in range(3000)]
+    path = public_tokenizers.path(name)
+    t = Tokenizer.from_file(path)
+    got = tokens.Encoder(path, keep).encode(texts)
+    assert [x.tolist() for x in got] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
