@@ -198,8 +198,11 @@ def write_shards(docs: DataFrame, folder: str, path: str, end: int = END, key: s
 
 
 def read_shards(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Looks up every key of the manifest in its shard file: key, start, n_tokens, ids_crc32."""
-    kind = dict(manifest.dtypes)["keys"][6:-1]
+    """Looks up every key of the manifest in its shard file: key, start, n_tokens, ids_crc32.
+
+    The manifest is small beside its files, so the number of tasks is stated: one for each shard.
+    """
+    kind, shards = dict(manifest.dtypes)["keys"][6:-1], max(1, manifest.count())
 
     def run(batches, schema):
         for b in batches:
@@ -217,7 +220,7 @@ def read_shards(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
                         crc += [zlib.crc32(ids[f - lo : f - lo + c].tobytes()) for f, c in zip(first[j : j + 256], count[j : j + 256])]
                     yield batch(schema, pa.array(keys, schema.field(0).type), first + r["base"], count, crc)
 
-    return map_arrow(manifest.select("uri", "base", "keys", "repeats").repartition("uri"), run, f"`{key}` {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return map_arrow(manifest.select("uri", "base", "keys", "repeats").repartition(shards, "uri"), run, f"`{key}` {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
