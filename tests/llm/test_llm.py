@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -198,6 +199,18 @@ def test_jaccard_classes_equal_brute_force(spark, corpus, monkeypatch, rounds):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out) == sorted((str(i), len(s), str(label.get(i))) for i, s in sets)
 
 
+def test_classes_whose_largest_changes(spark):
+    """Common words order the turns: 16 of X, then x within X while it leads, then Y, which overtakes, then y within Y; x links y."""
+    own = iter(range(1000, 100_000))
+    hot, run = [900, 901, 902], lambda start: list(range(start, start + 40))
+    sets = [hot + [next(own) for _ in range(40)] for _ in range(400)]
+    sets += [run(0) + hot + [next(own)] for _ in range(16)] + [run(3) + hot[:2], run(6)]
+    sets += [run(9) + hot[:1] + [next(own)] for _ in range(40)]
+    t = pa.table({"doc_id": range(len(sets)), "n": [len(s) for s in sets], "tokens": [np.array(sorted(s), "<i8").tobytes() for s in sets]})
+    star = {r["a"]: r["b"] for r in near._classes(80)(t).to_pylist()}
+    assert [star.get(i, i) for i in range(len(sets))] == [min(i, 400) for i in range(len(sets))]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 3), (2, 5)], "a long, b long")
     assert {r.node: r.component for r in graph.components(edges).collect()} == {2: 2, 3: 2, 4: 2, 5: 2, 8: 8, 9: 8}

@@ -263,7 +263,7 @@ def _classes(percent: int):
     """Kernel for a candidate class that one task holds: exact links as a star to each class's least member.
 
     Members are taken as leaders, those of the commonest shingles first, and compared with all. A pair
-    is left out only if both already are in the largest class found, where a link adds nothing.
+    is left out only if both are in the largest class at the end, where a link adds nothing.
     """
     schema = arrow_schema("a bigint, b bigint")
 
@@ -275,19 +275,17 @@ def _classes(percent: int):
         spread = group.ends - group.first
         weight = [float(spread[np.searchsorted(group.values, x)].mean()) if len(x) else 0.0 for x in tokens]
         done = np.zeros(len(ids), bool)
-        label = np.arange(len(ids))
-        for turn, i in enumerate(np.argsort(weight)[::-1]):
-            if turn % 16 == 0:
-                label = np.array([find(k) for k in range(len(ids))])
-                values, counts = np.unique(label, return_counts=True)
-                biggest = values[counts.argmax()]
-                if ((label == biggest) | done).all():
-                    break
-            if turn and label[i] == biggest:
-                continue
-            join(int(i), group.links(int(sizes[i]), tokens[i], percent))
-            done[i] = True
-        label = np.array([find(k) for k in range(len(ids))])
+        order = np.argsort(weight)[::-1]
+        while True:
+            label = np.array([find(k) for k in range(len(ids))])
+            values, counts = np.unique(label, return_counts=True)
+            # judged anew each time: whoever was in a class that is no longer the largest is open again
+            left = order[~done[order] & (label[order] != values[counts.argmax()])]
+            if not len(left):
+                break
+            for i in left[:16]:
+                join(int(i), group.links(int(sizes[i]), tokens[i], percent))
+                done[i] = True
         least = {}
         for k, r in zip(ids, label):
             least[r] = min(least.get(r, k), k)
