@@ -211,6 +211,28 @@ def test_classes_whose_largest_changes(spark):
     assert [star.get(i, i) for i in range(len(sets))] == [min(i, 400) for i in range(len(sets))]
 
 
+def graded_sets(seed):
+    """Sets of 20 numbers in a row from random starts, and the least index that links at 80 percent reach."""
+    starts = np.random.default_rng(seed).integers(0, 120, 40)
+    label = list(range(40))
+    for _ in label:
+        for i in range(40):
+            for j in range(40):
+                if abs(starts[i] - starts[j]) <= 2:
+                    label[i] = label[j] = min(label[i], label[j])
+    return [np.arange(s, s + 20) for s in starts], label
+
+
+def test_rounds_whose_largest_changes(spark, monkeypatch):
+    monkeypatch.setattr(near, "LEADERS", 2)
+    monkeypatch.setattr(near, "CHUNK", 25)
+    made = [graded_sets(seed) for seed in range(30)]
+    rows = [(g, 100 * g + i, 20, s.astype("<i8").tobytes()) for g, (sets, _) in enumerate(made) for i, s in enumerate(sets)]
+    links = near._rounds(spark.createDataFrame(rows, "comp long, doc_id long, n long, tokens binary"), 80)
+    least = {r.node: r.component for r in graph.components(links).collect()}
+    assert [least.get(r[1], r[1]) for r in rows] == [100 * g + k for g, (_, label) in enumerate(made) for k in label]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 3), (2, 5)], "a long, b long")
     assert {r.node: r.component for r in graph.components(edges).collect()} == {2: 2, 3: 2, 4: 2, 5: 2, 8: 8, 9: 8}

@@ -300,8 +300,8 @@ def _rounds(large: DataFrame, percent: int) -> DataFrame | None:
 
     Each round compares some open members of each class, the leaders, with all its members, in chunks
     over many tasks. A leader has all its links after its round; members of the largest class found
-    need none among themselves. Rounds end when every member is one or the other; the number of leaders
-    doubles with each round.
+    need none among themselves. Open are all that are neither, as of the last round; rounds end when
+    none is. The number of leaders doubles with each round.
     """
     ddl = "a bigint, b bigint"
     schema = arrow_schema(ddl)
@@ -312,7 +312,7 @@ def _rounds(large: DataFrame, percent: int) -> DataFrame | None:
     most = max(sizes.values())
     members = stored(large.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-most // CHUNK))))))
     open_ = stored(members.select("comp", "doc_id"))
-    links, leaders_n = None, LEADERS
+    links, led, leaders_n = None, None, LEADERS
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, lead = left["doc_id"].to_numpy(), right["lead"].to_numpy()
@@ -342,8 +342,10 @@ def _rounds(large: DataFrame, percent: int) -> DataFrame | None:
         labels = members.select("comp", "doc_id").join(components(links), F.col("doc_id") == F.col("node"), "left").select("comp", "doc_id", F.coalesce("component", "doc_id").alias("label"))
         tally = labels.groupBy("comp", "label").count()
         biggest = tally.groupBy("comp").agg(F.max_by("label", "count").alias("top"))
-        left = labels.join(biggest, "comp").where("label <> top").select("comp", "doc_id")
-        open_ = stored(open_.join(left, ["comp", "doc_id"], "left_semi").join(picked, ["comp", "doc_id"], "left_anti"))
+        led = picked if led is None else stored(led.unionByName(picked))
+        # from all members: those of a former largest class are open again
+        left = labels.join(biggest, "comp").where("label <> top").select("comp", "doc_id").distinct()
+        open_ = stored(left.join(led, ["comp", "doc_id"], "left_anti"))
         if not open_.limit(1).count():
             return links
         leaders_n *= 2
