@@ -122,6 +122,14 @@ def test_network_probabilities_add_up_and_carry_state():
     assert language.score_documents(net, docs) == pytest.approx([language.score_documents(net, [d])[0] for d in docs], rel=1e-4)
 
 
+def test_every_window_trains(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 0)
+    docs = table(spark, [(next(i for i in range(9) if language.trains(i)), " ".join(f"w{k}" for k in range(80)), "x")])
+    lex = language.lexicon(language.word_counts(docs, "doc_id", "text"))
+    net = language.train(docs, lex, "doc_id", "text")
+    assert (np.abs(net.p["X"] - language.GRU(lex.n).p["X"]).max(1)[: lex.n] > 1e-5).all()
+
+
 def test_packing_is_gapless_and_tight(spark):
     r = random.Random(2)
     rows = [(k, r.choice([1, 7, 500, 900, 4096, 2000])) for k in range(400)] + [(1, 7), (1, 7)]

@@ -20,8 +20,8 @@ from .common import batch, id_text_crc, keyed, map_arrow, stored, table, utf8, w
 END = b""
 #: Words of the network, other words that every task knows the counts of, hidden units, words in a class.
 VOCABULARY, KNOWN, HIDDEN, CLASS = 1023, 200_000, 24, 32
-#: Steps of a window, documents side by side, and the share of windows (one in so many) that train.
-WINDOW, LANES, TRAIN_EVERY = 24, 128, 3
+#: Steps of a window, and documents side by side.
+WINDOW, LANES = 24, 128
 #: Training documents of the first fit, at most about this many; passes over them.
 SAMPLE, PASSES = 400, 2
 #: Distinct words that a task gathers before it hands them on; tokens that it scores at once.
@@ -146,8 +146,8 @@ class GRU:
             out[t] = h
         return out, h, kept
 
-    def log_probabilities(self, h: np.ndarray, y: np.ndarray, grads: bool = False):
-        """Natural logs of P(y | h) for rows; with grads also the gradients of the mean loss."""
+    def log_probabilities(self, h: np.ndarray, y: np.ndarray, grads: int = 0):
+        """Natural logs of P(y | h) for rows; with grads also the gradients of the loss over so many."""
         p = self.p
         logits = h @ p["C"] + p["c"]
         logits -= logits.max(1, keepdims=True)
@@ -156,56 +156,64 @@ class GRU:
         cls, place = y // CLASS, y % CLASS
         rows = np.arange(len(y))
         out = logits[rows, cls] - np.log(s[:, 0])
+        # rows in the order of their classes: each class is one product, all else is done at once
         order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        cls, place, own = cls[order], place[order], h[order]
+        cut = np.searchsorted(cls, np.arange(self.classes + 1))
+        spans = [(k, cut[k], cut[k + 1]) for k in np.flatnonzero(np.diff(cut))]
         g = {}
         if grads:
             d = e / s
-            d[rows, cls] -= 1
-            d /= len(y)
+            d[rows, y // CLASS] -= 1
+            d /= grads
             g = {"C": h.T @ d, "c": d.sum(0), "O": np.zeros_like(p["O"]), "o": np.zeros_like(p["o"])}
             dh = d @ p["C"].T
-        for k in range(self.classes):
-            at = order[cut[k] : cut[k + 1]]
-            if not len(at):
-                continue
-            own = h[at]
-            l = own @ p["O"][k] + p["o"][k]  # noqa: E741
-            l -= l.max(1, keepdims=True)
-            e = np.exp(l)
-            s = e.sum(1, keepdims=True)
-            i = np.arange(len(at))
-            out[at] += l[i, place[at]] - np.log(s[:, 0])
-            if grads:
-                d = e / s
-                d[i, place[at]] -= 1
-                d /= len(y)
-                g["O"][k], g["o"][k] = own.T @ d, d.sum(0)
-                dh[at] += d @ p["O"][k].T
+        l = p["o"][cls]  # noqa: E741
+        for k, a, b in spans:
+            l[a:b] += own[a:b] @ p["O"][k]
+        l -= l.max(1, keepdims=True)
+        e = np.exp(l)
+        s = e @ np.ones((CLASS, 1), np.float32)
+        out[order] += l[rows, place] - np.log(s[:, 0])
+        if grads:
+            e /= s
+            e[rows, place] -= 1
+            e /= grads
+            back = np.empty_like(own)
+            for k, a, b in spans:
+                g["O"][k], g["o"][k] = own[a:b].T @ e[a:b], e[a:b].sum(0)
+                back[a:b] = e[a:b] @ p["O"][k].T
+            dh[order] += back
         return (out, g, dh) if grads else out
 
-    def learn(self, x, y, fresh, h, state: dict, rate: float) -> np.ndarray:
-        """One window of truncated backpropagation; y is -1 where a lane has no word. Returns the last state."""
+    def learn(self, x, y, fresh, h, state: dict, rate: float, full: int) -> np.ndarray:
+        """One window of truncated backpropagation; y is -1 where a lane has no word. Returns the last state.
+
+        Every word weighs the same, one in `full`, however few lanes are left.
+        """
         hs, last, kept = self.steps(x, fresh, h, True)
         ok = y >= 0
         if not ok.any():
             return last
-        _, g, dflat = self.log_probabilities(hs[ok], y[ok], True)
+        _, g, dflat = self.log_probabilities(hs[ok], y[ok], full)
         dhs = np.zeros_like(hs)
         dhs[ok] = dflat
         U, n = self.p["U"], HIDDEN
-        gU, dX, dh = np.zeros_like(U), np.zeros((*x.shape, 3 * n), np.float32), np.zeros_like(last)
+        h0, z, r, c, uc = (np.stack(v) for v in zip(*kept))
+        slope_a = (1 - z) * (1 - c * c)
+        slope_z, slope_r = (h0 - c) * z * (1 - z), slope_a * uc * r * (1 - r)
+        dX, du, dh, UT = np.empty((*x.shape, 3 * n), np.float32), np.empty((*x.shape, 3 * n), np.float32), np.zeros_like(last), np.ascontiguousarray(U.T)
         for t in range(len(x) - 1, -1, -1):
-            h0, z, r, c, uc = kept[t]
             dh = dh + dhs[t]
-            da = dh * (1 - z) * (1 - c * c)
-            dz = dh * (h0 - c) * z * (1 - z)
-            dr = da * uc * r * (1 - r)
-            dX[t, :, :n], dX[t, :, n : 2 * n], dX[t, :, 2 * n :] = dz, dr, da
-            du = np.concatenate((dz, dr, da * r), 1)
-            gU += h0.T @ du
-            dh = (dh * z + du @ U.T) * ~fresh[t][:, None]
-        g["U"] = gU
+            np.multiply(dh, slope_z[t], out=du[t, :, :n])
+            np.multiply(dh, slope_r[t], out=du[t, :, n : 2 * n])
+            np.multiply(dh, slope_a[t], out=dX[t, :, 2 * n :])
+            np.multiply(dX[t, :, 2 * n :], r[t], out=du[t, :, 2 * n :])
+            dh = dh * z[t] + du[t] @ UT
+            if fresh[t].any():
+                dh *= ~fresh[t][:, None]
+        dX[..., : 2 * n] = du[..., : 2 * n]
+        g["U"] = h0.reshape(-1, n).T @ du.reshape(-1, 3 * n)
         ids, inverse = np.unique(x[ok], return_inverse=True)
         d, order = dX[ok], np.argsort(inverse, kind="stable")
         sums = np.add.reduceat(d[order], np.searchsorted(inverse[order], np.arange(len(ids))), axis=0)
@@ -253,15 +261,12 @@ def _windows(y: np.ndarray, fresh: np.ndarray):
             yield t, lanes, x[t : t + WINDOW, :lanes], y[t : t + WINDOW, :lanes], fresh[t : t + WINDOW, :lanes]
 
 
-def learn_documents(net: GRU, docs: list[np.ndarray], state: dict, rate: float, every: int) -> int:
-    """Trains on one window in `every`, carrying states through all; returns the tokens laid out."""
+def learn_documents(net: GRU, docs: list[np.ndarray], state: dict, rate: float) -> int:
+    """Trains on every window, carrying states through; returns the tokens laid out."""
     y, fresh, _ = _lanes(docs, LANES)
     h = np.zeros((y.shape[1], HIDDEN), np.float32)
-    for k, (_, lanes, x, out, new) in enumerate(_windows(y, fresh)):
-        if k % every == 0:
-            h = net.learn(x, out, new, h[:lanes], state, rate)
-        else:
-            _, h, _ = net.steps(x, new, h[:lanes])
+    for _, lanes, x, out, new in _windows(y, fresh):
+        h = net.learn(x, out, new, h[:lanes], state, rate, WINDOW * y.shape[1])
     return int((y >= 0).sum())
 
 
@@ -302,12 +307,12 @@ def train(docs: DataFrame, lex: Lexicon, key: str, text: str) -> GRU:
     net.begin(np.append(lex.counts[: lex.n], lex.other_total))
     first = [encode((r.t or "").encode()) for r in sorted(sample, key=lambda r: (r.k is None, r.k or 0))]
     for _ in range(PASSES if first else 0):
-        learn_documents(net, first, state, 0.05, 1)
+        learn_documents(net, first, state, 0.05)
 
     def run(batches, schema):
         own, seen, state_ = net.copy(), 0, {k: v.copy() for k, v in state.items()}
         for chunk in _chunks(batches):
-            seen += learn_documents(own, [encode(t) for _, t in chunk], state_, 0.05, TRAIN_EVERY)
+            seen += learn_documents(own, [encode(t) for _, t in chunk], state_, 0.05)
         if seen:
             yield batch(schema, [(own.flat() * np.float32(seen)).astype("<f4").tobytes()], [seen])
 
