@@ -103,7 +103,11 @@ def test_media_round_trip_and_resync(raw):
     assert media.parse(stream[:at] + bytes([stream[at] ^ 1]) + stream[at + 1 :])["crc_bad"] == 1
 
 
-def test_language_scores(spark, corpus):
+@pytest.mark.parametrize("known", [200_000, 20])
+def test_language_scores(spark, corpus, monkeypatch, known):
+    """Base columns against the contract's formula, whether counts are told to all tasks or joined."""
+    monkeypatch.setattr(language, "KNOWN", known)
+    monkeypatch.setattr(language, "VOCABULARY", 15)
     out = language.score(table(spark, corpus)).collect()
     docs = [(i, common.words((t or "").encode()) + [b""]) for i, t, _ in corpus]
     c = Counter(w for i, ws in docs if language.trains(i) for w in ws)
@@ -111,15 +115,55 @@ def test_language_scores(spark, corpus):
     want = sorted((str(i), len(ws), sum(c[w] > 0 for w in ws), round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), 6)) for i, ws in docs)
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in out) == want
     assert all(r.train_tokens == n and math.isfinite(r.score) and r.score < 0 for r in out)
+    assert all(r.held_out == (zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode()) % 5 == 1) for r in out)
+    assert language.score(table(spark, [])).count() == 0
+
+
+def laid(docs):
+    return np.concatenate(docs), np.array([len(d) for d in docs])
 
 
 def test_network_probabilities_add_up_and_carry_state():
     net = language.GRU(40)
-    h = np.random.default_rng(1).normal(0, 1, (1, language.HIDDEN)).astype(np.float32)
+    h = np.append(np.random.default_rng(1).normal(0, 1, (1, language.HIDDEN)), [[1]], 1).astype(np.float32)
     p = np.exp([net.log_probabilities(h, np.array([y]))[0] for y in range(41)])
     assert p.sum() == pytest.approx(1, abs=1e-4)
     docs = [np.random.default_rng(k).integers(0, 41, n).astype(np.int32) for k, n in enumerate((5, 100, 1, 60))]
-    assert language.score_documents(net, docs) == pytest.approx([language.score_documents(net, [d])[0] for d in docs], rel=1e-4)
+    assert language.score_documents(net, *laid(docs)) == pytest.approx([language.score_documents(net, *laid([d]))[0] for d in docs], rel=1e-4)
+
+
+def test_gradients_are_those_of_the_loss():
+    """One step with a state of equal scales moves every weight against the numerical slope of the loss."""
+    r = np.random.default_rng(4)
+    x, y = r.integers(0, 90, (6, 3)), r.integers(0, 91, (6, 3)).astype(np.int32)
+    y[4:, 2] = -1
+    fresh = np.zeros((6, 3), bool)
+    fresh[0], fresh[3, 1] = True, True
+    start = np.zeros((3, language.HIDDEN), np.float32)
+
+    def loss(net):
+        hs, _, _ = net.steps(x, fresh, start)
+        return -net.log_probabilities(hs[y >= 0], y[y >= 0]).astype(float).sum()
+
+    net = language.GRU(90)
+    net.p = {k: v * 5 for k, v in net.p.items()}
+    net.blank()
+    after, big = net.copy(), 1e8
+    after.learn(x, y, fresh, start, {k: np.full_like(v, big) for k, v in net.p.items()}, 1e4, 1)
+    moved = {k: (net.p[k] - after.p[k]).ravel() for k in net.p}
+    for k in net.p:
+        for j in [int(i) for i in np.argsort(-np.abs(moved[k]))[:4]]:
+            up, down = net.copy(), net.copy()
+            up.p[k].ravel()[j] += 0.02
+            down.p[k].ravel()[j] -= 0.02
+            assert moved[k][j] == pytest.approx((loss(up) - loss(down)) / 0.04, rel=0.05, abs=0.02)
+
+
+def test_one_very_long_text_lies_beside_short_ones():
+    lengths = np.array([50_000] + [3] * 500)
+    lanes = language.Lanes(np.arange(lengths.sum()) % 7, lengths, 100)
+    assert len(lanes.tokens) == lengths.sum() and lanes.length[0] == 50_000
+    assert sum(int((y >= 0).sum()) for _, _, y, _ in lanes.windows()) == lengths.sum()
 
 
 def test_every_window_trains(spark, monkeypatch):
@@ -127,7 +171,23 @@ def test_every_window_trains(spark, monkeypatch):
     docs = table(spark, [(next(i for i in range(9) if language.trains(i)), " ".join(f"w{k}" for k in range(80)), "x")])
     lex = language.lexicon(language.word_counts(docs, "doc_id", "text"))
     net = language.train(docs, lex, "doc_id", "text")
-    assert (np.abs(net.p["X"] - language.GRU(lex.n).p["X"]).max(1)[: lex.n] > 1e-5).all()
+    first = language.GRU(lex.n)
+    first.begin(np.append(lex.counts[: lex.n], lex.other_total))
+    assert (np.abs(net.p["X"] - first.p["X"]).max(1)[: lex.n] > 1e-5).all()
+
+
+def test_many_word_hashes_and_their_places():
+    r = random.Random(8)
+    texts = [b"", b" ", b"a"] + ["".join(r.choice(["Ab", "é", " ", "\n", "\x1c", "x" * 30]) for _ in range(r.randint(0, 40))).encode() for _ in range(200)]
+    own = [common.word_hashes(t) for t in texts]
+    for block in (1, 16, 1 << 18):
+        h, n = common.many_word_hashes(texts, block)
+        assert n.tolist() == [len(common.words(t)) for t in texts] and h.tolist() == [x for o in own for x in o.tolist()]
+    known = np.random.default_rng(2).integers(0, 1 << 63, 5000, dtype=np.uint64)
+    asked = np.concatenate((known[::-1], known + np.uint64(1)))
+    for levels in (1, 2, 3):
+        assert common.HashTable(known, levels).find(asked).tolist() == list(range(5000))[::-1] + [5000] * 5000
+    assert common.HashTable(known[:0]).find(asked).tolist() == [0] * len(asked)
 
 
 def test_packing_is_gapless_and_tight(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zlib
@@ -132,7 +133,7 @@ def hash64(x: np.ndarray) -> np.ndarray:
 
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE = hash64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -147,20 +148,89 @@ def _power(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of words(text), without a Python object per word.
-
-    A polynomial over mixed byte values modulo 2**64, taken between word ends from one running sum,
-    then mixed once more.
-    """
-    b = np.frombuffer(text.lower(), np.uint8)
+def _hashed(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words in bytes: a polynomial modulo 2**64, taken between word ends from one
+    running sum, then mixed."""
     space = (b == 32) | ((b >= 9) & (b <= 13))
-    edge = np.diff(np.concatenate(([True], space, [True])).view(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if len(b) and not space[0]:
+        edge = np.concatenate(([0], edge))
+    if len(b) and not space[-1]:
+        edge = np.append(edge, len(b))
+    start, stop = edge[::2], edge[1::2]
     power, inverse = _power(len(b) + 1)
     with np.errstate(over="ignore"):
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[b] * power[: len(b)], dtype=np.uint64)))
-        return hash64((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+        total = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(b.astype(np.uint64) * power[: len(b)], dtype=np.uint64, out=total[1:])
+        return hash64((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64)), start
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of words(text), without a Python object per word."""
+    return _hashed(np.frombuffer(text.lower(), np.uint8))[0]
+
+
+def many_word_hashes(texts: list[bytes], block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes of many texts at once, and the number of words of each text.
+
+    Texts are joined by white space and worked off in blocks of about `block` bytes, cut at white space, so
+    that memory follows the block (or the longest word, if that is longer) and not the texts.
+    """
+    joined = b"\n".join(texts).lower()
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    found, starts, at = [], [], 0
+    while at < len(joined):
+        end = at + block
+        if end < len(joined):
+            cut = _SPACE.search(joined, end)
+            end = cut.start() if cut else len(joined)
+        h, start = _hashed(np.frombuffer(joined, np.uint8, min(end, len(joined)) - at, at))
+        found.append(h)
+        starts.append(start + at)
+        at = end
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    return np.concatenate(found), np.diff(np.searchsorted(np.concatenate(starts), ends), prepend=0)
+
+
+class HashTable:
+    """Places of known 64-bit hashes, found by numpy: direct-mapped levels, the commonest in the first."""
+
+    def __init__(self, hashes: np.ndarray, levels: int = 3):
+        self.none, self.levels, left = len(hashes), [], np.arange(len(hashes))
+        bits = max(4, (2 * len(hashes)).bit_length())
+        for k in range(levels):
+            slot = self._slot(hashes[left], bits, k)
+            _, first = np.unique(slot, return_index=True)
+            held, place = np.zeros(1 << bits, np.uint64), np.full(1 << bits, self.none, np.int32)
+            held[slot[first]], place[slot[first]] = hashes[left[first]], left[first]
+            self.levels.append((bits, held, place))
+            left = np.delete(left, first)
+        order = np.argsort(hashes[left])
+        self.rest, self.rest_place = hashes[left][order], left[order].astype(np.int32)
+
+    @staticmethod
+    def _slot(h: np.ndarray, bits: int, level: int) -> np.ndarray:
+        return (h >> np.uint64(64 - bits - 7 * level) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash; the number of known ones for those that aren't known."""
+        out, left = np.full(len(h), self.none, np.int32), None
+        for k, (bits, held, place) in enumerate(self.levels):
+            own = h if left is None else h[left]
+            slot = self._slot(own, bits, k)
+            hit = (held[slot] == own) & (place[slot] < self.none)
+            if left is None:
+                out[hit] = place[slot[hit]]
+                left = np.flatnonzero(~hit)
+            else:
+                out[left[hit]] = place[slot[hit]]
+                left = left[~hit]
+        if len(self.rest) and len(left):
+            at = np.minimum(np.searchsorted(self.rest, h[left]), len(self.rest) - 1)
+            hit = self.rest[at] == h[left]
+            out[left[hit]] = self.rest_place[at[hit]]
+        return out
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
