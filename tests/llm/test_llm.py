@@ -103,6 +103,58 @@ def test_media_round_trip_and_resync(raw):
     assert media.parse(stream[:at] + bytes([stream[at] ^ 1]) + stream[at + 1 :])["crc_bad"] == 1
 
 
+def test_media_query_keeps_every_unit(spark, tmp_path):
+    """Through the query: marks of tags and frames at every place of the last unit and its neighbours; nulls; no rows."""
+    texts = [None, "", "x" * 575, "x" * 576, "x" * 577]
+    for mark in ("TAG", "ID3", "ÿû", "VBRI"):
+        texts += ["x" * k + mark + "y" * 52 for k in (0, 446, 447, 448, 449, 520, 521, 522, 576 + 521)]
+    texts += ["x" * k + "TAG" + "z" * (573 - k) for k in range(0, 574, 7)]
+    schema = "doc_id long, text string, media string"
+    for name, rows in (("some", list(enumerate(texts)) + [(None, "null key"), (3, "x" * 576)]), ("none", [])):
+        spark.createDataFrame([(*r, "clash") for r in rows], schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    out = media.op4_media_columns(spark, f"{tmp_path}/some").collect()
+    want = []
+    for i, t in [*enumerate(texts), (None, "null key"), (3, "x" * 576)]:
+        raw = (t or "").encode()
+        padded = raw + b"\xff" * (576 * max(1, -(-len(raw) // 576)) - len(raw))
+        want.append((str(i), len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]), hashlib.sha256(media.encode(raw)).hexdigest()))
+    assert sorted((str(r.doc_id), r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_sha256) for r in out) == sorted(want)
+    assert media.op4_media_columns(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_media_tail_tags_checksums_and_tables():
+    stream = media.encode(b"some text")
+    tag = b"TAG" + b"a title".ljust(125, b"\0")
+    for end in (stream + tag, stream + b"junk" + tag):
+        p = media.parse(end)
+        assert p["tags"]["title"] == "a title" and len(p["offsets"]) == 1 and media.decode(end, p)[:9] == b"some text"
+    assert media.parse(stream + b"junk" + tag)["skipped"] == 4 and media.parse(b"")["offsets"] == [] == media.parse(tag)["offsets"]
+    for layer, joint, size in ((1, False, 32), (1, True, 24), (2, False, 64)):
+        bits = 0xFFF80000 | (4 - layer) << 17 | 10 << 12 | 1 << 10 | (1 << 6 | 1 << 4 if joint else 0)
+        f = media.header(bits)
+        body = bytearray(f.length)
+        body[:4] = bits.to_bytes(4, "big")
+        body[6 : 6 + size] = bytes((37 * k + 11) % 256 for k in range(size))
+        data, n = media.guarded(bytes(body), f)
+        plain = 0xFFFF  # bit by bit, as the standard draws it
+        for k in range(n):
+            high = plain >> 15 ^ data[k // 8] >> 7 - k % 8 & 1
+            plain = (plain << 1 & 0xFFFF) ^ (0x8005 if high else 0)
+        body[4:6] = plain.to_bytes(2, "big")
+        p = media.parse(bytes(body) * 3)
+        assert (p["crc_good"], p["crc_bad"], len(p["offsets"])) == (3, 0, 3)
+        body[7] ^= 64
+        assert media.parse(bytes(body) * 3)["crc_bad"] == 3
+        assert n == 16 + (256 if layer == 1 and not joint else 32 * 4 + 4 * 8 if layer == 1 else n - 16)
+    f = media.header(media._HEADER & ~(1 << 16) | 1 << 16)
+    vbri = bytearray(f.length)
+    vbri[:4], vbri[36:40] = f.bits.to_bytes(4, "big"), b"VBRI"
+    vbri[46:62] = (f.length * 5).to_bytes(4, "big") + (4).to_bytes(4, "big") + b"\0\2\0\3\0\2\0\2"
+    vbri[62:66] = b"\1\0\0\7"
+    p = media.parse(bytes(vbri) + (f.bits.to_bytes(4, "big").ljust(f.length, b"\0")) * 4)
+    assert p["vbr"] == {"kind": "VBRI", "frames": 4, "bytes": f.length * 5, "toc": [768, 789], "frames_per_entry": 2} and len(p["offsets"]) == 4
+
+
 @pytest.mark.parametrize("known", [200_000, 20])
 def test_language_scores(spark, corpus, monkeypatch, known):
     """Base columns against the contract's formula, whether counts are told to all tasks or joined."""

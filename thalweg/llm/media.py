@@ -86,6 +86,60 @@ def crc16(data: bytes) -> int:
     return c
 
 
+def crc16_bits(data: bytes, bits: int) -> int:
+    """crc16 of the first `bits` bits."""
+    whole, left = divmod(bits, 8)
+    c = crc16(data[:whole])
+    for k in range(left):
+        high = c >> 15 ^ data[whole] >> 7 - k & 1
+        c = c << 1 & 0xFFFF ^ (0x8005 if high else 0)
+    return c
+
+
+# Fixed values of ISO/IEC 11172-3 and 13818-3, Layer II: (bits of a subband's allocation, subbands) in turn.
+ALLOCATION = {
+    "a": ((4, 11), (3, 12), (2, 4)),
+    "b": ((4, 11), (3, 12), (2, 7)),
+    "c": ((4, 2), (3, 6)),
+    "d": ((4, 2), (3, 10)),
+    "lsf": ((4, 4), (3, 7), (2, 19)),
+}
+
+
+def _allocation(f: Frame) -> str:
+    """Which allocation table a Layer II frame uses, by its bitrate a channel and its sampling rate."""
+    each = f.kbps if f.mono else f.kbps // 2
+    if f.version != 3:
+        return "lsf"
+    if each <= 48:
+        return "d" if f.rate == 32000 else "c"
+    return "a" if each <= 80 or f.rate == 48000 else "b"
+
+
+def guarded(data: bytes, f: Frame) -> tuple[bytes, int]:
+    """What the checksum of a protected frame covers: bytes, and how many of their bits.
+
+    The header's last 16 bits; then Layer III's side information, or Layer I's bit allocation, or Layer II's
+    bit allocation and scale factor selection, which two bits give for each channel of a subband in use.
+    """
+    head, body = data[2:4], data[6:]
+    if f.layer == 3:
+        return head + body[: side_length(f)], 16 + 8 * side_length(f)
+    channels, bound = 1 if f.mono else 2, 4 * (f.bits >> 4 & 3) + 4 if f.bits >> 6 & 3 == 1 else 32
+    if f.layer == 1:
+        bits = sum(4 * (channels if k < bound else 1) for k in range(32))
+        return head + body[: bits // 8], 16 + bits
+    stream, at, selected = int.from_bytes(body[:64].ljust(64, b"\0"), "big"), 0, 0
+    widths = [w for w, n in ALLOCATION[_allocation(f)] for _ in range(n)]
+    for k, w in enumerate(widths):
+        for _ in range(channels if k < bound else 1):
+            used = stream >> 512 - at - w & (1 << w) - 1
+            selected += 2 * bool(used) * (1 if k < bound else channels)
+            at += w
+    bits = at + selected
+    return head + body[: -(-bits // 8)], 16 + bits
+
+
 def _synchsafe(b: bytes) -> int:
     return b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
 
@@ -109,49 +163,59 @@ def _id3v2(data: bytes) -> tuple[int, dict[str, str]]:
     return size, tags
 
 
+def _tail_tag(data: bytes, at: int) -> bool:
+    """Whether an ID3v1 tag begins at `at` and is the end of the data."""
+    return at + 128 == len(data) and data[at : at + 3] == b"TAG"
+
+
 def parse(data: bytes) -> dict:
     """What an MPEG audio stream holds.
 
     offsets, lengths: of every audio frame, in order; samples and rate give the exact duration; resyncs
     and skipped: how often, and over how many bytes, the next frame had to be searched; crc_good and
-    crc_bad: of protected Layer III frames (other layers are counted as unchecked); vbr: the leading
-    Xing, Info or VBRI table, whose frame holds no audio; tags: ID3v2 text and ID3v1 title. A header
-    found by searching counts only if another of the same stream follows it or the data ends there.
+    crc_bad: of protected frames (a Layer I or II frame too short for what its checksum covers is bad);
+    vbr: the leading Xing, Info or VBRI table, whose frame holds no audio; tags: ID3v2 text and ID3v1
+    title. A header found by searching counts only if another of the same stream follows it, or the
+    data or an ID3v1 tag ends there. Frames go before tags: an ID3v1 tag counts only where no frame
+    reaches into the last 128 bytes. Frames of free format are skipped.
     """
     at, tags = _id3v2(data)
     end = len(data)
-    if end - at >= 128 and data[-128:-125] == b"TAG":
-        end -= 128
-        tags.setdefault("title", data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1"))
-    out = {"tags": tags, "offsets": [], "lengths": [], "samples": 0, "rate": 0, "resyncs": 0, "skipped": 0, "crc_good": 0, "crc_bad": 0, "unchecked": 0, "vbr": None, "kbps": set()}
-    crcs: dict[bytes, int] = {}
+    out = {"tags": tags, "offsets": [], "lengths": [], "samples": 0, "rate": 0, "resyncs": 0, "skipped": 0, "crc_good": 0, "crc_bad": 0, "vbr": None, "kbps": set()}
+    crcs: dict[tuple[bytes, int], int] = {}
     first, lost = None, False
-    while at + 4 <= end:
-        f = header(int.from_bytes(data[at : at + 4], "big"))
+    while at < end:
+        if _tail_tag(data, at):
+            tags.setdefault("title", data[at + 3 : at + 33].rstrip(b"\0 ").decode("latin-1"))
+            end = at
+            break
+        f = header(int.from_bytes(data[at : at + 4], "big")) if at + 4 <= end else None
         ok = f is not None and at + f.length <= end and (first is None or f.same_stream(first))
         if ok and (lost or first is None):
             nxt = at + f.length
             g = header(int.from_bytes(data[nxt : nxt + 4], "big")) if nxt + 4 <= end else None
-            ok = nxt == end or g is not None and g.same_stream(f)
+            ok = nxt == end or _tail_tag(data, nxt) or g is not None and g.same_stream(f)
         if not ok:
             if not lost:
                 out["resyncs"] += 1
             nxt = data.find(b"\xff", at + 1, end)
             nxt = end if nxt < 0 else nxt
+            if at < end - 128 < nxt and _tail_tag(data, end - 128):
+                nxt = end - 128
             out["skipped"] += nxt - at
             at, lost = nxt, True
             continue
         lost = False
-        if f.protected and f.layer == 3:
-            body = data[at + 2 : at + 4] + data[at + 6 : at + 6 + side_length(f)]
-            if body not in crcs:
-                if len(crcs) > 4096:
-                    crcs.clear()
-                crcs[body] = crc16(body)
-            good = crcs[body] == int.from_bytes(data[at + 4 : at + 6], "big")
+        if f.protected:
+            body, bits = guarded(data[at : at + f.length], f)
+            good = 8 * len(body) >= bits
+            if good:
+                if (body, bits) not in crcs:
+                    if len(crcs) > 4096:
+                        crcs.clear()
+                    crcs[body, bits] = crc16_bits(body, bits)
+                good = crcs[body, bits] == int.from_bytes(data[at + 4 : at + 6], "big")
             out["crc_good" if good else "crc_bad"] += 1
-        elif f.protected:
-            out["unchecked"] += 1
         table_ = _vbr(data[at : at + f.length], f) if first is None and f.layer == 3 else None
         if table_:
             out["vbr"] = table_
@@ -163,12 +227,14 @@ def parse(data: bytes) -> dict:
         first = first or f
         out["rate"] = f.rate
         at += f.length
-    out["skipped"] += max(0, end - at)
     return out
 
 
 def _vbr(frame: bytes, f: Frame) -> dict | None:
-    """The variable-bitrate table in a first frame, if there is one."""
+    """The variable-bitrate table in a first frame, if there is one.
+
+    toc: of Xing and Info, the 100 bytes of seek points; of VBRI, the offsets in bytes at which its entries end.
+    """
     at = 4 + 2 * f.protected + side_length(f)
     name = frame[at : at + 4]
     if name in (b"Xing", b"Info"):
@@ -179,9 +245,11 @@ def _vbr(frame: bytes, f: Frame) -> dict | None:
         if flags & 4:
             out["toc"] = frame[at : at + 100]
         return out
-    if frame[36:40] == b"VBRI":
-        size, frames = struct.unpack(">II", frame[46:54])
-        return {"kind": "VBRI", "frames": frames, "bytes": size, "toc": None}
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        size, frames, n, scale, width, per = struct.unpack(">IIHHHH", frame[46:62])
+        cells = [frame[62 + k * width : 62 + (k + 1) * width] for k in range(n)] if width else []
+        steps = [int.from_bytes(x, "big") * scale for x in cells if len(x) == width]
+        return {"kind": "VBRI", "frames": frames, "bytes": size, "toc": np.cumsum(steps).tolist(), "frames_per_entry": per}
     return None
 
 
