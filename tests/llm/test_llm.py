@@ -72,6 +72,31 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.where("false")).count() == 0
 
 
+def test_top_k_prunes_rows_in_groups(spark, monkeypatch):
+    """Tight groups of vectors: exact, without a cartesian product, and fewer than a quarter of all pairs compared."""
+    for name, value in (("BLOCK", 64), ("STEP", 16), ("PART", 700), ("RINGS", 16)):
+        monkeypatch.setattr(topk, name, value)
+    r = np.random.default_rng(5)
+    centres = r.normal(0, 1, (25, 16))
+    centres *= 4 / np.linalg.norm(centres, axis=1, keepdims=True)
+    x = (centres[r.integers(0, 25, 4000)] + r.normal(0, 0.02, (4000, 16))).astype(np.float32)
+    x[100:1400] = x[100]  # a third of all rows are one vector
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)] + [(40, x[7].tolist())], "vec_id long, embedding array<float>")
+    q, got = np.floor(64 * x.astype(float)).astype(int), defaultdict(list)
+    out = topk.top_k(df, k=5, visited=True)
+    assert "CartesianProduct" not in out._jdf.queryExecution().toString()
+    share = {}
+    for row in out.orderBy("query_id", "rank").collect():
+        got[row.query_id].append((row.vec_id, row.score))
+        share[row.query_id] = row.n_visited / 4001
+    for i in range(0, 4000, 20):
+        own = q[i] if i != 40 else min(q[40].tolist(), q[7].tolist())
+        s = q @ np.array(own)
+        cand = sorted((j for j in range(4000) if j != i), key=lambda j: (-s[j], j))[:5]
+        assert got[i] == [(j, int(s[j])) for j in cand]
+    assert np.mean(list(share.values())) < 0.25
+
+
 def test_toxicity_generalises_to_misspellings():
     r = random.Random(1)
     word = lambda: "".join(r.choices("abcdefghij", k=5))

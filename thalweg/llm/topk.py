@@ -1,25 +1,27 @@
 """Exact top-k by inner product over a pivot-distance index.
 
-With M the largest norm, x' = (x, sqrt(M^2 - |x|^2)) and q' = (q, 0) give |q' - x'|^2 = |q|^2 + M^2 - 2 q.x,
-so the highest inner products are the nearest neighbours of q'. The index keys each x' by its nearest
-pivot and its distance from it and keeps each pivot's rows in rings of that distance. The triangle
-inequality bounds a row from below by | d(q', pivot) - d(x', pivot) |, so a query expands annuli around
-its own distance outwards and stops at the first whose bound exceeds its k-th distance.
+2 q.x = |q|^2 + |x|^2 - |q - x|^2, and the triangle inequality bounds |q - x| from below by the annulus
+gap | d(q, pivot) - d(x, pivot) |. The index keys each row by its nearest pivot and its distance from it,
+range-sorts the rows by that key and cuts them into rings, each with its pivot, its least and largest
+distance and its largest norm. A query expands the annuli whose bound reaches its floor, a score that its
+k-th best is known to reach, and goes through a ring in steps outwards until the bound stops it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch, keyed, map_arrow, stored, table
+from .common import batch, keyed, map_arrow, stored, table
 
-#: Rows that pivots are fitted on at most; pivots; rows in one packed block of a ring; queries in a block.
-SAMPLE, PIVOTS, BLOCK, QUERY_BLOCK = 4096, 24, 2048, 512
-#: Rows of one block that an annulus step takes.
-STEP = 256
+#: Rows that pivots are fitted on at most; pivots at least and at most; rows in one packed block of a ring.
+SAMPLE, PIVOTS, BLOCK = 4096, (8, 256), 1024
+#: Rings that the directory lists, about; with more blocks, neighbouring ones share a ring.
+RINGS = 1 << 16
+#: Rows that one range partition is planned to get; rows of a block that an annulus step takes.
+PART, STEP = 16_384, 128
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -40,96 +42,162 @@ def quantised(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(F.size("v") == (sizes[0].n if sizes else 0))
 
 
-def fit_pivots(rows: DataFrame) -> np.ndarray:
-    """Pivots by k-means over at most SAMPLE rows that a hash of the id picks. Exactness does not rest on them."""
-    n = rows.count()
-    some = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(n, 1))) < SAMPLE).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+def fit_pivots(rows: DataFrame, n: int) -> np.ndarray:
+    """Pivots, one for about two blocks, by k-means over at most SAMPLE rows that a hash of key and vector picks.
+
+    Exactness does not rest on them.
+    """
+    h = F.xxhash64("vec_id", "v")
+    some = rows.where(F.pmod(h, F.lit(max(n, 1))) < 2 * SAMPLE).orderBy(h, "vec_id", "v").limit(SAMPLE).collect()
+    if not some:  # few rows and an unlucky hash
+        some = rows.orderBy("vec_id", "v").limit(1).collect()
     x = np.array([r.v for r in some], np.float64)
-    if not len(x):
-        x = np.array([r.v for r in rows.limit(1).collect()], np.float64)
     r = np.random.default_rng(7)
-    p = x[r.permutation(len(x))[:PIVOTS]]
+    p = x[r.permutation(len(x))[: int(np.clip(n // (2 * BLOCK), *PIVOTS))]]
     for _ in range(6):
-        d = (p * p).sum(1)[None] - 2 * x @ p.T
-        near = d.argmin(1)
+        near = ((p * p).sum(1)[None] - 2 * x @ p.T).argmin(1)
         p = np.array([x[near == k].mean(0) if (near == k).any() else p[k] for k in range(len(p))])
     return p
 
 
-def _distances(v: np.ndarray, extra2: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Distances of (v, sqrt(extra2)) from (pivot, 0)."""
-    return np.sqrt(np.maximum((v * v).sum(1)[:, None] + extra2[:, None] + (pivots * pivots).sum(1)[None] - 2 * v @ pivots.T, 0))
+def _distances(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((v * v).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * v @ pivots.T, 0))
 
 
-def build_index(rows: DataFrame, pivots: np.ndarray, m2: float) -> DataFrame:
-    """Blocks (pivot, lo, hi, ids, vectors): every row, in rings of like distance from its nearest pivot.
+def _most(q2: np.ndarray, x2: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """The largest inner product that a gap allows; the slack covers rounding."""
+    most = (q2 + x2 - np.maximum(gap, 0) ** 2) / 2
+    return most + 1e-6 * (1 + np.abs(most) + q2 + x2)
 
-    Each task packs its own rows, sorted by pivot and distance, so that no pivot's rows ever meet in
-    one task; a ring of one pivot may have blocks from many tasks.
+
+def build_index(rows: DataFrame, pivots: np.ndarray, n: int) -> DataFrame:
+    """Blocks (ring, pivot, lo, hi, x2, n, ids, dist, vectors) of every row.
+
+    Rows are range-partitioned by pivot, distance and a hash, so that no pivot and no distance, however
+    many rows have it, must fit one task; each partition is cut into blocks of one pivot and at most
+    BLOCK rows. A ring is a block, or some neighbouring ones where there are more than RINGS.
     """
+    share = max(1, -(-n // (BLOCK * RINGS)))
+
+    def assign(batches, schema):
+        for b in batches:
+            if len(b):
+                v = _matrix(b.column(1))
+                d = _distances(v, pivots)
+                near = d.argmin(1)
+                yield batch(schema, b.column(0), near, d[np.arange(len(v)), near], [x.tobytes() for x in v.astype("<f4" if np.abs(v).max() < 1 << 24 else "<f8")])
 
     def pack(batches, schema):
-        ids, vs = [], []
-
-        def flush():
-            if not ids:
-                return
-            i, v = np.concatenate(ids), np.concatenate(vs)
-            d = _distances(v, np.maximum(m2 - (v * v).sum(1), 0), pivots)
-            near = d.argmin(1)
-            own = d[np.arange(len(v)), near]
-            order = np.lexsort((own, near))
-            out = []
-            for p in np.unique(near):
-                at = order[near[order] == p]
-                for k in range(0, len(at), BLOCK):
-                    part = at[k : k + BLOCK]
-                    out.append((int(p), float(own[part[0]]), float(own[part[-1]]), len(part), i[part].tobytes(), own[part].tobytes(), v[part].tobytes()))
-            yield batch(schema, *zip(*out))
-            ids.clear()
-            vs.clear()
+        from pyspark import TaskContext
+
+        held: list[pa.Table] = []
+        turn, size, task = 0, 0, TaskContext.get().partitionId()
+
+        def blocks(t: pa.Table, last: bool):
+            """Whole blocks, and what is left if it may go on."""
+            nonlocal turn
+            pivot, out, at = t["pivot"].to_numpy(), [], 0
+            while at < len(t):
+                end = min(at + BLOCK, at + int(np.searchsorted(pivot[at:], pivot[at], "right")))
+                if end == len(t) and end - at < BLOCK and not last:
+                    break
+                part = t.slice(at, end - at)
+                v = np.array([np.frombuffer(x, "<f4" if len(x) == 4 * pivots.shape[1] else "<f8") for x in part["x"].to_pylist()], np.float64)
+                raw = v.astype("<f4") if np.abs(v).max() < 1 << 24 else v
+                d = part["dist"].to_numpy()
+                out.append(((task << 32) + turn // share, int(pivot[at]), float(d[0]), float(d[-1]), float((v * v).sum(1).max()), len(v), part["vec_id"].to_numpy().tobytes(), d.tobytes(), raw.tobytes()))
+                turn, at = turn + 1, end
+                if end < len(t) and pivot[end] != pivot[end - 1]:
+                    turn = -(-turn // share) * share  # a ring has one pivot
+            return out, t.slice(at)
 
         for b in batches:
-            if len(b):
-                ids.append(b.column(0).to_numpy())
-                vs.append(_matrix(b.column(1)))
-            if sum(map(len, ids)) >= 1 << 16:
-                yield from flush()
-        yield from flush()
+            held.append(pa.Table.from_batches([b]))
+            size += len(b)
+            if size >= 8 * BLOCK:
+                out, rest = blocks(pa.concat_tables(held).combine_chunks(), False)
+                held, size = [rest], len(rest)
+                yield batch(schema, *zip(*out))
+        if size:
+            out, _ = blocks(pa.concat_tables(held).combine_chunks(), True)
+            yield batch(schema, *zip(*out))
 
-    return map_arrow(rows, pack, "pivot int, lo double, hi double, n int, ids binary, dist binary, vectors binary")
+    dealt = map_arrow(rows, assign, "vec_id bigint, pivot int, dist double, x binary")
+    dealt = dealt.repartitionByRange(max(1, -(-n // PART)), "pivot", "dist", F.xxhash64("vec_id")).sortWithinPartitions("pivot", "dist", "vec_id")
+    return map_arrow(dealt, pack, "ring bigint, pivot int, lo double, hi double, x2 double, n int, ids binary, dist binary, vectors binary")
 
 
-def _search(blocks: DataFrame, pivots: np.ndarray, m2: float, k: int) -> DataFrame:
-    """blocks: rows of an index block beside a query block (qids, qvectors, floor). Best k of each pair.
+class Directory:
+    """All rings: their pivots, distances, largest squared norms and rows."""
 
-    floor: a score that each query's k-th best reaches at least. Rows of the block are taken in steps
-    outwards from the query's own distance; a query drops out at the first step whose bound passes
-    its k-th distance.
+    def __init__(self, index: DataFrame):
+        t = index.groupBy("ring", "pivot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("x2").alias("x2"), F.sum("n").alias("n")).orderBy("ring").toArrow()
+        self.ring, self.pivot, self.lo, self.hi, self.x2, self.n = (t[c].to_numpy() for c in ("ring", "pivot", "lo", "hi", "x2", "n"))
+
+    def most(self, q: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+        """Bounds of the inner products of queries with the rows of each ring."""
+        d = _distances(q, pivots)[:, self.pivot]
+        return _most((q * q).sum(1)[:, None], self.x2[None], np.maximum(self.lo[None] - d, d - self.hi[None]))
+
+
+def _dealt(queries: DataFrame, directory: Directory, pivots: np.ndarray, k: int, first: bool) -> DataFrame:
+    """Blocks of queries (ring, qids, qvectors, floors) for each ring that they are to visit.
+
+    first: each query's rings of the highest bounds, until they hold more than k rows. Otherwise: all rings
+    whose bound reaches the query's floor.
+    """
+
+    def run(batches, schema):
+        for b in batches:
+            ids, floors = b.column(0).to_numpy(), b.column(2).to_numpy()
+            v = _matrix(b.column(1))
+            for at in range(0, len(ids), max(1, (1 << 22) // max(1, len(directory.ring)))):
+                part = slice(at, at + max(1, (1 << 22) // max(1, len(directory.ring))))
+                most = directory.most(v[part], pivots)
+                if first:
+                    order = np.argsort(-most, axis=1, kind="stable")
+                    held = np.cumsum(directory.n[order], axis=1) - directory.n[order]
+                    go = np.zeros(most.shape, bool)
+                    np.put_along_axis(go, order, held <= k, 1)
+                else:
+                    go = most >= floors[part][:, None]
+                rings = np.flatnonzero(go.any(0))
+                for j in range(0, len(rings), 256):
+                    own = [np.flatnonzero(go[:, r]) + at for r in rings[j : j + 256]]
+                    yield batch(schema, directory.ring[rings[j : j + 256]], [ids[o].tobytes() for o in own], [v[o].tobytes() for o in own], [floors[o].tobytes() for o in own])
+
+    return map_arrow(queries, run, "ring bigint, qids binary, qvectors binary, floors binary")
+
+
+def _search(blocks: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
+    """blocks: index blocks beside query blocks of their ring. The best k of each pair: query_id, vec_id, score.
+
+    Rows of a block are taken in steps outwards from the query's own distance; a query drops out at the
+    first step whose bound stays below what its k-th best reaches. A row without vec_id tells how many
+    rows a query was compared with.
     """
 
     def run(batches, schema):
         for b in batches:
             out_q, out_i, out_s = [], [], []
-            for r in b.to_pylist():
+            for row in range(len(b)):
+                r = {c: b.column(c)[row].as_py() for c in b.schema.names}
                 ids, dist = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["dist"])
-                x = np.frombuffer(r["vectors"]).reshape(len(ids), -1)
+                x = np.frombuffer(r["vectors"], "<f4" if len(r["vectors"]) == 4 * len(ids) * pivots.shape[1] else "<f8").reshape(len(ids), -1).astype(np.float64)
                 qi = np.frombuffer(r["qids"], np.int64)
                 q = np.frombuffer(r["qvectors"]).reshape(len(qi), -1)
-                low = np.frombuffer(r["floors"]).copy()
-                q2 = (q * q).sum(1)
-                dq = np.sqrt(np.maximum(q2 + (pivots[r["pivot"]] ** 2).sum() - 2 * q @ pivots[r["pivot"]], 0))
+                low, q2 = np.frombuffer(r["floors"]).copy(), (q * q).sum(1)
+                dq = _distances(q, pivots[r["pivot"]][None])[:, 0]
                 cuts = range(0, len(ids), STEP)
                 lo, hi = np.array([dist[a] for a in cuts]), np.array([dist[min(a + STEP, len(ids)) - 1] for a in cuts])
-                gap = np.maximum(np.maximum(lo[None] - dq[:, None], dq[:, None] - hi[None]), 0)
-                outwards = np.argsort(gap, axis=1, kind="stable")
-                got_s: list[list] = [[] for _ in qi]
-                live = np.arange(len(qi))
+                x2 = np.array([(x[a : a + STEP] ** 2).sum(1).max() for a in cuts])
+                most = _most(q2[:, None], x2[None], np.maximum(lo[None] - dq[:, None], dq[:, None] - hi[None]))
+                outwards = np.argsort(-most, axis=1, kind="stable")
+                got: list[list] = [[] for _ in qi]
+                live, met = np.arange(len(qi)), np.zeros(len(qi), np.int64)
                 for turn in range(len(lo)):
                     ring = outwards[live, turn]
-                    # inner product <= (|q|^2 + M^2 - gap^2) / 2; the slack covers rounding
-                    most = (q2[live] + m2 - gap[live, ring] ** 2) / 2
-                    go = most + 1e-6 * (1 + np.abs(most)) >= low[live]
+                    go = most[live, ring] >= low[live]
                     live, ring = live[go], ring[go]
                     if not len(live):
                         break
@@ -138,84 +206,66 @@ def _search(blocks: DataFrame, pivots: np.ndarray, m2: float, k: int) -> DataFra
                         part = slice(a * STEP, a * STEP + STEP)
                         s = q[own] @ x[part].T
                         s[qi[own][:, None] == ids[part][None]] = -np.inf
+                        met[own] += s.shape[1]
                         hit_q, hit_x = np.nonzero((s >= low[own][:, None]) & (s > -np.inf))
-                        for j in np.unique(hit_q):
-                            at = hit_x[hit_q == j]
-                            got = got_s[own[j]]
-                            got.append((s[j, at], ids[part][at]))
-                            if sum(len(g[0]) for g in got) >= k:
-                                ss, ii = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+                        cut = np.searchsorted(hit_q, np.arange(len(own) + 1))
+                        for j in np.flatnonzero(np.diff(cut)):
+                            at = hit_x[cut[j] : cut[j + 1]]
+                            g = got[own[j]]
+                            g.append((s[j, at], ids[part][at]))
+                            if sum(len(y[0]) for y in g) >= k:
+                                ss, ii = np.concatenate([y[0] for y in g]), np.concatenate([y[1] for y in g])
                                 top = np.lexsort((ii, -ss))[:k]
-                                got[:] = [(ss[top], ii[top])]
-                                if len(top) == k:
-                                    low[own[j]] = max(low[own[j]], ss[top[-1]])
-                for j, got in enumerate(got_s):
-                    for s, i in got:
-                        out_q.append(np.full(len(i), qi[j]))
-                        out_i.append(i)
-                        out_s.append(s)
+                                g[:] = [(ss[top], ii[top])]
+                                low[own[j]] = max(low[own[j]], ss[top[-1]])
+                out_q += [np.full(len(i), qi[j]) for j, g in enumerate(got) for _, i in g] + [qi]
+                out_i += [np.ma.array(i) for g in got for _, i in g] + [np.ma.masked_all(len(qi), np.int64)]
+                out_s += [s for g in got for s, _ in g] + [met]
             if out_q:
-                yield batch(schema, np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_s).astype(np.int64))
+                ids = np.ma.concatenate(out_i)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_q)), pa.array(ids.data, mask=np.ma.getmaskarray(ids)), pa.array(np.concatenate(out_s).astype(np.int64))], schema=schema)
 
     return map_arrow(blocks, run, "query_id bigint, vec_id bigint, score bigint")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    """The k best of each query; candidates of one query are at most k from each block that it met."""
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
-    return found.groupBy("query_id").agg(best.alias("best"))
+    """Each query's k best, ranked from 1; every task keeps k of a query before they are shuffled."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.where("vec_id is not null").withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def top_k(vectors: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", every: int = 20) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", every: int = 20, visited: bool = False) -> DataFrame:
     """Each query's k best rows by integer inner product of floor(64 x): query_id, rank, vec_id, score.
 
     Queries: rows whose key is divisible by `every`; candidates: every row but the query's own (rows
-    that repeat its key count as its own). Ties go to the smaller key; repeated rows under other keys
-    each count. Rows that take no part: see quantised(). Empty table: empty result. Components must
-    stay below 2**22 in size after quantising, so that float64 sums of products stay exact.
+    that repeat its key count as its own; of a repeated key's vectors the least asks). Ties go to the
+    smaller key; repeated rows under other keys each count. Rows that take no part: see quantised().
+    Empty table: empty result. Components must stay below 2**22 in size after quantising, so that
+    float64 sums of products stay exact. visited: also n_visited, the rows that the query was compared
+    with, its first visits included. Pruning needs vectors that lie in groups; of directions spread
+    evenly over many dimensions, every ring reaches every floor and all rows are compared.
     """
     spark = vectors.sparkSession
     rows = stored(quantised(vectors, key, vector))
-    norms = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))).first()[0]
-    if norms is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    m2, pivots = float(norms), fit_pivots(rows)
-    # Blocks come out of few, large tasks: a ring's width follows from how many rows a task sorts.
-    index = stored(build_index(rows, pivots, m2))
-
-    def homes(batches, schema):
-        for b in batches:
-            if len(b):
-                v = _matrix(b.column(1))
-                yield batch(schema, b.column(0), b.column(1), _distances(v, np.zeros(len(v)), pivots).argmin(1))
-
-    asked = map_arrow(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), homes, "qid bigint, v array<double>, home int")
-
-    def packed(df: DataFrame) -> DataFrame:
-        """Queries with their floors in blocks of about QUERY_BLOCK, dealt by home and a hash."""
-        n = max(1, -(-df.count() // (QUERY_BLOCK * PIVOTS)))
-
-        def pack(t: pa.Table) -> pa.Table:
-            out = []
-            i, v, f = t["qid"].to_numpy(), _matrix(t["v"].combine_chunks()), t["floor"].to_numpy()
-            order = np.argsort(i)
-            for at in np.array_split(order, -(-len(i) // QUERY_BLOCK)):
-                out.append((t["home"][0].as_py(), i[at].tobytes(), v[at].tobytes(), f[at].tobytes()))
-            return pa.Table.from_batches([batch(schema, *zip(*out))])
-
-        ddl = "home int, qids binary, qvectors binary, floors binary"
-        schema = arrow_schema(ddl)
-        return df.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(n))).groupBy("home", "part").applyInArrow(pack, ddl)
-
-    # First the queries' own pivots, which gives each a floor; then every other block that its bound admits.
-    first = packed(asked.withColumn("floor", F.lit(float("-inf"))))
-    near = stored(_search(first.join(index, first.home == index.pivot), pivots, m2, k))
-    floors = _best(near, k).select("query_id", F.when(F.size("best") >= k, -F.element_at("best", k)["s"]).cast("double").alias("floor"))
-    second = stored(packed(asked.join(floors, asked.qid == floors.query_id, "left").select("qid", "v", "home", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))))
-    far = _search(second.join(index, second.home != index.pivot), pivots, m2, k)
-    best = _best(near.unionByName(far), k)
-    out = best.select("query_id", F.posexplode("best"))
-    return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.vec_id").alias("vec_id"), (-F.col("col.s")).alias("score"))
+    n = rows.count()
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long" + ", n_visited long" * visited)
+    pivots = fit_pivots(rows, n)
+    index = stored(build_index(rows, pivots, n))
+    directory = Directory(index)
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumnRenamed("vec_id", "qid")
+    asked = stored(asked)
+    # First a query's most promising rings, which give it a floor; then every ring that its bound admits.
+    first = _dealt(asked.withColumn("floor", F.lit(float("-inf"))), directory, pivots, k, True)
+    near = stored(_search(index.join(first, "ring"), pivots, k))
+    floors = _best(near, k).groupBy("query_id").agg(F.min("score").alias("s"), F.count("*").alias("c")).where(F.col("c") >= k)
+    known = asked.join(floors, asked.qid == floors.query_id, "left").select("qid", "v", F.coalesce(F.col("s").cast("double"), F.lit(float("-inf"))).alias("floor"))
+    found = _search(index.join(_dealt(known, directory, pivots, k, False), "ring"), pivots, k)
+    found = stored(found) if visited else found
+    out = _best(found, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    if visited:
+        out = out.join(near.unionByName(found).where("vec_id is null").groupBy("query_id").agg(F.sum("score").alias("n_visited")), "query_id")
+    return out
 
 
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
