@@ -22,6 +22,8 @@ SAMPLE, PIVOTS, BLOCK = 4096, (8, 256), 1024
 RINGS = 1 << 16
 #: Rows that one range partition is planned to get; rows of a block that an annulus step takes.
 PART, STEP = 16_384, 128
+#: Found rows that a task holds before it merges them.
+MERGE = 200_000
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -64,6 +66,15 @@ def _distances(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((v * v).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * v @ pivots.T, 0))
 
 
+def _packed(v: np.ndarray) -> bytes:
+    """Rows as 32-bit numbers where those are exact, else as 64-bit ones."""
+    return v.astype("<f4" if not v.size or np.abs(v).max() < 1 << 24 else "<f8").tobytes()
+
+
+def _unpacked(raw: bytes, n: int, pivots: np.ndarray) -> np.ndarray:
+    return np.frombuffer(raw, "<f4" if len(raw) == 4 * n * pivots.shape[1] else "<f8").reshape(n, -1).astype(np.float64)
+
+
 def _most(q2: np.ndarray, x2: np.ndarray, gap: np.ndarray) -> np.ndarray:
     """The largest inner product that a gap allows; the slack covers rounding."""
     most = (q2 + x2 - np.maximum(gap, 0) ** 2) / 2
@@ -85,7 +96,7 @@ def build_index(rows: DataFrame, pivots: np.ndarray, n: int) -> DataFrame:
                 v = _matrix(b.column(1))
                 d = _distances(v, pivots)
                 near = d.argmin(1)
-                yield batch(schema, b.column(0), near, d[np.arange(len(v)), near], [x.tobytes() for x in v.astype("<f4" if np.abs(v).max() < 1 << 24 else "<f8")])
+                yield batch(schema, b.column(0), near, d[np.arange(len(v)), near], [_packed(x) for x in v])
 
     def pack(batches, schema):
         from pyspark import TaskContext
@@ -102,10 +113,9 @@ def build_index(rows: DataFrame, pivots: np.ndarray, n: int) -> DataFrame:
                 if end == len(t) and end - at < BLOCK and not last:
                     break
                 part = t.slice(at, end - at)
-                v = np.array([np.frombuffer(x, "<f4" if len(x) == 4 * pivots.shape[1] else "<f8") for x in part["x"].to_pylist()], np.float64)
-                raw = v.astype("<f4") if np.abs(v).max() < 1 << 24 else v
+                v = np.concatenate([_unpacked(x, 1, pivots) for x in part["x"].to_pylist()])
                 d = part["dist"].to_numpy()
-                out.append(((task << 32) + turn // share, int(pivot[at]), float(d[0]), float(d[-1]), float((v * v).sum(1).max()), len(v), part["vec_id"].to_numpy().tobytes(), d.tobytes(), raw.tobytes()))
+                out.append(((task << 32) + turn // share, int(pivot[at]), float(d[0]), float(d[-1]), float((v * v).sum(1).max()), len(v), part["vec_id"].to_numpy().tobytes(), d.tobytes(), _packed(v)))
                 turn, at = turn + 1, end
                 if end < len(t) and pivot[end] != pivot[end - 1]:
                     turn = -(-turn // share) * share  # a ring has one pivot
@@ -164,29 +174,48 @@ def _dealt(queries: DataFrame, directory: Directory, pivots: np.ndarray, k: int,
                 rings = np.flatnonzero(go.any(0))
                 for j in range(0, len(rings), 256):
                     own = [np.flatnonzero(go[:, r]) + at for r in rings[j : j + 256]]
-                    yield batch(schema, directory.ring[rings[j : j + 256]], [ids[o].tobytes() for o in own], [v[o].tobytes() for o in own], [floors[o].tobytes() for o in own])
+                    yield batch(schema, directory.ring[rings[j : j + 256]], [ids[o].tobytes() for o in own], [_packed(v[o]) for o in own], [floors[o].tobytes() for o in own])
 
     return map_arrow(queries, run, "ring bigint, qids binary, qvectors binary, floors binary")
 
 
 def _search(blocks: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
-    """blocks: index blocks beside query blocks of their ring. The best k of each pair: query_id, vec_id, score.
+    """blocks: index blocks beside query blocks of their ring. Each task's best k: query_id, vec_id, score.
 
     Rows of a block are taken in steps outwards from the query's own distance; a query drops out at the
-    first step whose bound stays below what its k-th best reaches. A row without vec_id tells how many
-    rows a query was compared with.
+    first step whose bound stays below what its k-th best reaches. A task merges what it has found for a
+    query in all its blocks, and raises its floor. A row without vec_id tells how many rows a query was
+    compared with.
     """
 
     def run(batches, schema):
+        held: list[tuple] = [(np.zeros(0, np.int64),) * 3]  # queries, ids, scores
+        seen: list[tuple] = [(np.zeros(0, np.int64),) * 2]  # queries, rows compared
+        least = (np.zeros(0, np.int64), np.zeros(0))  # queries with k rows, and their k-th scores
+
+        def merge():
+            nonlocal least
+            q, i, s = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((i, -s, q))
+            q, i, s = q[order], i[order], s[order]
+            rank = np.arange(len(q)) - np.searchsorted(q, q)
+            held[:] = [(q[rank < k], i[rank < k], s[rank < k])]
+            least = q[rank == k - 1], s[rank == k - 1]
+            u, at = np.unique(np.concatenate([x for x, _ in seen]), return_inverse=True)
+            seen[:] = [(u, np.bincount(at, weights=np.concatenate([n for _, n in seen]), minlength=len(u)).astype(np.int64))]
+
+        size = 0
         for b in batches:
-            out_q, out_i, out_s = [], [], []
             for row in range(len(b)):
                 r = {c: b.column(c)[row].as_py() for c in b.schema.names}
                 ids, dist = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["dist"])
-                x = np.frombuffer(r["vectors"], "<f4" if len(r["vectors"]) == 4 * len(ids) * pivots.shape[1] else "<f8").reshape(len(ids), -1).astype(np.float64)
+                x = _unpacked(r["vectors"], len(ids), pivots)
                 qi = np.frombuffer(r["qids"], np.int64)
-                q = np.frombuffer(r["qvectors"]).reshape(len(qi), -1)
+                q = _unpacked(r["qvectors"], len(qi), pivots)
                 low, q2 = np.frombuffer(r["floors"]).copy(), (q * q).sum(1)
+                if len(least[0]):
+                    at = np.minimum(np.searchsorted(least[0], qi), len(least[0]) - 1)
+                    low = np.where(least[0][at] == qi, np.maximum(low, least[1][at]), low)
                 dq = _distances(q, pivots[r["pivot"]][None])[:, 0]
                 cuts = range(0, len(ids), STEP)
                 lo, hi = np.array([dist[a] for a in cuts]), np.array([dist[min(a + STEP, len(ids)) - 1] for a in cuts])
@@ -218,12 +247,18 @@ def _search(blocks: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
                                 top = np.lexsort((ii, -ss))[:k]
                                 g[:] = [(ss[top], ii[top])]
                                 low[own[j]] = max(low[own[j]], ss[top[-1]])
-                out_q += [np.full(len(i), qi[j]) for j, g in enumerate(got) for _, i in g] + [qi]
-                out_i += [np.ma.array(i) for g in got for _, i in g] + [np.ma.masked_all(len(qi), np.int64)]
-                out_s += [s for g in got for s, _ in g] + [met]
-            if out_q:
-                ids = np.ma.concatenate(out_i)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_q)), pa.array(ids.data, mask=np.ma.getmaskarray(ids)), pa.array(np.concatenate(out_s).astype(np.int64))], schema=schema)
+                held += [(np.full(len(i), qi[j]), i, s) for j, g in enumerate(got) for s, i in g]
+                seen.append((qi, met))
+                size += sum(len(s) for g in got for s, _ in g)
+                if size > MERGE:
+                    merge()
+                    size = 0
+        merge()
+        for c in range(0, len(held[0][0]), 1 << 16):
+            yield batch(schema, *(x[c : c + (1 << 16)].astype(np.int64) for x in held[0]))
+        for c in range(0, len(seen[0][0]), 1 << 16):
+            part = seen[0][0][c : c + (1 << 16)]
+            yield batch(schema, part, [None] * len(part), seen[0][1][c : c + (1 << 16)])
 
     return map_arrow(blocks, run, "query_id bigint, vec_id bigint, score bigint")
 
@@ -257,10 +292,10 @@ def top_k(vectors: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "e
     asked = stored(asked)
     # First a query's most promising rings, which give it a floor; then every ring that its bound admits.
     first = _dealt(asked.withColumn("floor", F.lit(float("-inf"))), directory, pivots, k, True)
-    near = stored(_search(index.join(first, "ring"), pivots, k))
+    near = stored(_search(index.join(first.hint("merge"), "ring"), pivots, k))
     floors = _best(near, k).groupBy("query_id").agg(F.min("score").alias("s"), F.count("*").alias("c")).where(F.col("c") >= k)
     known = asked.join(floors, asked.qid == floors.query_id, "left").select("qid", "v", F.coalesce(F.col("s").cast("double"), F.lit(float("-inf"))).alias("floor"))
-    found = _search(index.join(_dealt(known, directory, pivots, k, False), "ring"), pivots, k)
+    found = _search(index.join(_dealt(known, directory, pivots, k, False).hint("merge"), "ring"), pivots, k)
     found = stored(found) if visited else found
     out = _best(found, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
     if visited:
