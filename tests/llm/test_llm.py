@@ -333,6 +333,8 @@ def test_jaccard_classes_equal_brute_force(spark, corpus, monkeypatch, rounds):
         monkeypatch.setattr(near, "CHUNK", 5)
         monkeypatch.setattr(near, "LEADERS", 2)
         monkeypatch.setattr(near, "RARE", 3)
+        monkeypatch.setattr(near, "COMMON", 6)
+        monkeypatch.setattr(near, "LONG", 70)
     sets = [(i, set(common.shingles((t or "").encode(), 3).tolist())) for i, t, _ in corpus]
     label = {i: i for i, _ in sets if i is not None}
     for _ in label:
@@ -342,6 +344,9 @@ def test_jaccard_classes_equal_brute_force(spark, corpus, monkeypatch, rounds):
                     label[i] = label[j] = min(label[i], label[j])
     out = near.similar_classes(table(spark, corpus), 3, 90).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out) == sorted((str(i), len(s), str(label.get(i))) for i, s in sets)
+    if rounds:
+        assert len(near.common_shingles(near.document_sets(table(spark, corpus), 3, "doc_id", "text"), len(corpus))[0]) > 20
+        assert near.similar_classes(table(spark, []), 3, 90).count() == 0
 
 
 def test_classes_whose_largest_changes(spark):

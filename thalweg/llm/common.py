@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows in one Arrow batch: long texts make larger batches too heavy for a Python worker.
-BATCH_ROWS = 256
+#: Rows, and bytes, in one Arrow batch: long texts make larger batches too heavy for a Python worker.
+BATCH_ROWS, BATCH_BYTES = 256, 32 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -24,6 +24,7 @@ _written: list[tuple[SparkSession, str]] = []
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, with Arrow batches kept small for whatever Python reads it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -5,7 +5,7 @@ shingles others hold too and how often; nothing but those can be shared. In the
 frequency, two linked documents share at least two of the first n - ceil(t n) + 2 shingles of either
 (the prefix extended by one). A prefix shingle of a rare class is a signature by itself; those of
 the frequent class are indexed in pairs, as two shared ones are either partly rare or a pair of frequent
-ones. Documents that share a signature, directly or through others, are candidates for one
+ones; very long sets, which link with long ones only, take singles throughout. Documents that share a signature, directly or through others, are candidates for one
 class, within which intersections are counted exactly.
 """
 
@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch, hash64, keyed, map_arrow, shingles, stored, table, utf8
+from .common import arrow_schema, batch, hash64, keyed, map_arrow, release, shared_dir, shingles, stored, table, utf8
 from .graph import components
 
 #: Shingles held by at most RARE documents are signatures by themselves.
@@ -26,10 +26,14 @@ RARE = 32
 FLUSH, REDUCER = 2_000_000, 2_500_000
 #: Sets held by more than a HOT-th of all documents are told to every task: at most HOT of them.
 HOT = 20_000
+#: A shingle that a COMMON-th of all documents hold, by the counts of tasks in which a COMMON-th hold it, is common.
+COMMON = 100
+#: Sets of so many shingles take single signatures only, as pairs of all their frequent shingles are many.
+LONG = 4_000
 #: Candidate classes of more documents, or more shingles, are worked off in rounds by many tasks.
-CLASS_DOCS, CLASS_SHINGLES = 8_000, 4_000_000
+CLASS_DOCS, CLASS_SHINGLES = 240, 4_000_000
 #: Documents that one task of such a round compares, and documents that they are compared with in each round.
-CHUNK, LEADERS = 2_000, 48
+CHUNK, LEADERS = 200, 48
 
 
 def set_hashes(s: np.ndarray) -> tuple[int, int]:
@@ -49,28 +53,60 @@ def prefix(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2): size and hash of each whole text's set; n_shingles is 0 without words."""
+    """(doc_id, n_shingles, k1, k2): size and hash of each whole text's set; n_shingles is 0 without words.
+
+    Rows with n_shingles -1 tell of shingles (k1) that many documents of one task hold, and how many (k2).
+    """
 
     def run(batches, schema):
+        held, size = [], 0
+
+        def often():
+            h, c = np.unique(np.concatenate(held), return_counts=True)
+            many = c > max(RARE, len(held) // COMMON)
+            n = int(many.sum())
+            return batch(schema, [None] * n, [-1] * n, h[many].view(np.int64), c[many])
+
         for b in batches:
             rows = []
             for t in utf8(b.column(1)):
                 s = shingles(t, width)
                 rows.append((len(s), *(set_hashes(s) if len(s) else (None, None))))
+                if len(s):
+                    held.append(s)
+                    size += len(s)
+                if size >= FLUSH:
+                    yield often()
+                    held, size = [], 0
             if rows:
                 yield batch(schema, b.column(0), *zip(*rows))
+        if held:
+            yield often()
 
     return map_arrow(keyed(docs, key, text), run, f"doc_id {dict(docs.dtypes)[key]}, n_shingles bigint, k1 bigint, k2 bigint")
 
 
-def _dealt(docs: DataFrame, width: int, percent: int, parts: int, hot: dict, key: str, text: str) -> DataFrame:
+def common_shingles(sets: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the common shingles in ascending order, and about how many documents hold each.
+
+    At most COMMON times the mean size of a set. All that two COMMON-ths of all documents hold are among them.
+    Which are, and how exact their numbers are, changes the order of prefixes alone, in which all agree.
+    """
+    found = sets.where("n_shingles = -1").groupBy("k1").agg(F.sum("k2").alias("c")).where(F.col("c") > max(RARE, rows // COMMON)).toArrow()
+    h, c = found["k1"].to_numpy().view(np.uint64), found["c"].to_numpy()
+    order = np.argsort(h)
+    return h[order], np.minimum(c[order], (1 << 32) - 1)
+
+
+def _dealt(docs: DataFrame, width: int, percent: int, parts: int, hot: dict, often: tuple, key: str, text: str) -> DataFrame:
     """Packed postings: (part, src, body, n) and, under negative parts, the documents of each src.
 
     A shingle's part comes from the high half of its hash; 40 bits of the rest tell it from others there.
-    src numbers what a task gathered; tasks read their file splits in a fixed order, so a repeated task
-    deals out the same.
+    Common shingles are dealt to no part: each src has its own, with the frequencies that all know, under
+    a negative part and with a negative n. src numbers what a task gathered; tasks read their file splits
+    in a fixed order, so a repeated task deals out the same.
     """
-    least = smallest(percent)
+    least, (known, times) = smallest(percent), often
 
     def run(batches, schema):
         task, turn = TaskContext.get().partitionId(), 0
@@ -84,11 +120,18 @@ def _dealt(docs: DataFrame, width: int, percent: int, parts: int, hot: dict, key
             sizes = np.array([len(s) for s in sets], np.int64)
             h = np.concatenate(sets)
             index = np.repeat(np.arange(len(sets), dtype="<u4"), sizes)
+            out = [(-1 - src % parts, src, np.array(ids, "<i8").tobytes() + sizes.astype("<i8").tobytes(), len(ids))]
+            if len(known):
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                own = known[at] == h
+                if own.any():
+                    body = (at[own] | 1 << 62).astype("<i8").tobytes() + times[at[own]].astype("<u4").tobytes() + index[own].astype("<u2").tobytes()
+                    out.append((-1 - src % parts, src, body, -int(own.sum())))
+                    h, index = h[~own], index[~own]
             part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
             low = h & np.uint64((1 << 40) - 1)
             order = np.argsort(part, kind="stable")
             index, low, cut = index[order], low[order], np.searchsorted(part[order], np.arange(parts + 1))
-            out = [(-1 - src % parts, src, np.array(ids, "<i8").tobytes() + sizes.astype("<i8").tobytes(), len(ids))]
             for p in range(parts):
                 a, b = cut[p], cut[p + 1]
                 if a < b:
@@ -128,7 +171,7 @@ def _postings(body: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
 def _shared(dealt: DataFrame) -> DataFrame:
     """Of each part, what occurs more than once, back to its src: (src, n, body of tokens, frequencies, indexes).
 
-    Negative parts pass through as rows of their src with first set.
+    Negative parts pass through as rows of their src, with first set for documents.
     """
     ddl = "src bigint, n bigint, body binary, first boolean"
     schema = arrow_schema(ddl)
@@ -136,7 +179,8 @@ def _shared(dealt: DataFrame) -> DataFrame:
     def run(key, t):
         part = key[0].as_py()
         if part < 0:
-            return pa.Table.from_batches([batch(schema, t["src"].to_pylist(), t["n"].to_pylist(), t["body"].to_pylist(), [True] * len(t))])
+            n = t["n"].to_numpy()
+            return pa.Table.from_batches([batch(schema, t["src"].to_pylist(), np.abs(n), t["body"].to_pylist(), n >= 0)])
         srcs, ns, bodies = t["src"].to_pylist(), t["n"].to_pylist(), t["body"].to_pylist()
         order = np.argsort(srcs, kind="stable")
         total = int(sum(ns))
@@ -200,18 +244,22 @@ def _candidates(shared: DataFrame, percent: int) -> DataFrame:
                     r += 1
                 p, at = np.unique(t_[:r], return_index=True)
                 p, f = p.astype(np.uint64), f_[at]
-                sigs, often = [hash64(p[f <= RARE])], hash64(p[f > RARE])
+                # a set of LONG or more links with none below LONG * percent / 100: from there on all are singles
+                n = int(sizes[j])
+                rare = f <= RARE if 100 * n < percent * LONG else np.ones(len(p), bool)
+                sigs, often = [hash64(p[rare])], hash64(p[f > RARE]) if n < LONG else p[:0]
                 for k in range(len(often) - 1):
                     with np.errstate(over="ignore"):
                         x, y = np.minimum(often[k], often[k + 1 :]), np.maximum(often[k], often[k + 1 :])
                         sigs.append(hash64(x * np.uint64(0x9E3779B97F4A7C15) + y))
-                sigs = np.concatenate(sigs).astype(np.int64)
+                sigs = np.concatenate(sigs).view(np.int64)
                 if len(sigs):
-                    rows.append((int(ids[j]), int(sizes[j]), np.unique(t_).tobytes(), sigs))
+                    rows.append((int(ids[j]), n, np.unique(t_).tobytes(), sigs))
         out = []
         for k in range(0, len(rows), 512):
             i, n, tk, sg = zip(*rows[k : k + 512])
-            out.append(batch(schema, i, n, tk, [x.tolist() for x in sg]))
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sg)]).astype(np.int32), pa.array(np.concatenate(sg)))
+            out.append(pa.RecordBatch.from_arrays([pa.array(i), pa.array(n), pa.array(tk, pa.binary()), lists.cast(schema.field(3).type)], schema=schema))
         return pa.Table.from_batches(out, schema)
 
     return shared.groupBy("src").applyInArrow(run, ddl)
@@ -304,15 +352,25 @@ def _rounds(large: DataFrame, percent: int) -> DataFrame | None:
     none is. The number of leaders doubles with each round.
     """
     ddl = "a bigint, b bigint"
-    schema = arrow_schema(ddl)
-    large = stored(large)
-    sizes = {r[0]: r[1] for r in large.groupBy("comp").count().collect()}
-    if not sizes:
+    schema, spark = arrow_schema(ddl), large.sparkSession
+    paths: dict[str, str] = {}
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        """stored() in place of what had the name before, which goes."""
+        path = shared_dir(spark)
+        out = stored(df, path)
+        if name in paths:
+            release(spark, paths[name])
+        paths[name] = path
+        return out
+
+    large = keep("large", large)
+    sizes = large.groupBy("comp").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    if not large.limit(1).count():
         return None
-    most = max(sizes.values())
-    members = stored(large.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-most // CHUNK))))))
-    open_ = stored(members.select("comp", "doc_id"))
-    links, led, leaders_n = None, None, LEADERS
+    members = keep("members", large.join(sizes, "comp").withColumn("salt", F.pmod(F.xxhash64("doc_id"), "chunks")).drop("chunks"))
+    open_, links, led, leaders_n = members.select("comp", "doc_id"), None, None, LEADERS
+    chunks_of = members.select(F.col("comp").alias("class"), F.col("salt").alias("chunk")).distinct()
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, lead = left["doc_id"].to_numpy(), right["lead"].to_numpy()
@@ -332,21 +390,21 @@ def _rounds(large: DataFrame, percent: int) -> DataFrame | None:
         counts = open_.groupBy("comp").agg(F.count("*").alias("c"))
         picked = open_.join(counts, "comp").where(F.pmod(F.xxhash64("doc_id", F.lit(leaders_n)), F.col("c")) < leaders_n).select("comp", "doc_id")
         # a class whose hash picked none still goes on by its least open member
-        picked = stored(picked.unionByName(open_.groupBy("comp").agg(F.min("doc_id").alias("doc_id"))).distinct())
+        picked = keep("picked", picked.unionByName(open_.groupBy("comp").agg(F.min("doc_id").alias("doc_id"))).distinct())
         leaders = picked.join(members.select("doc_id", "n", "tokens"), "doc_id")
-        salts = F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-most // CHUNK)) - 1)))
-        spread = leaders.select(F.col("comp").alias("class"), F.col("doc_id").alias("lead"), F.col("n").alias("size"), F.col("tokens").alias("own"), salts.alias("chunk"))
-        spread = spread.withColumn("chunk", F.col("chunk").cast("long"))
-        found = stored(members.groupBy("comp", "salt").cogroup(spread.groupBy("class", "chunk")).applyInArrow(compare, ddl))
-        links = found if links is None else stored(links.unionByName(found))
+        spread = leaders.select(F.col("comp").alias("class"), F.col("doc_id").alias("lead"), F.col("n").alias("size"), F.col("tokens").alias("own")).join(chunks_of, "class")
+        found = members.groupBy("comp", "salt").cogroup(spread.groupBy("class", "chunk")).applyInArrow(compare, ddl)
+        links = keep("links", found if links is None else links.unionByName(found))
         labels = members.select("comp", "doc_id").join(components(links), F.col("doc_id") == F.col("node"), "left").select("comp", "doc_id", F.coalesce("component", "doc_id").alias("label"))
         tally = labels.groupBy("comp", "label").count()
-        biggest = tally.groupBy("comp").agg(F.max_by("label", "count").alias("top"))
-        led = picked if led is None else stored(led.unionByName(picked))
+        biggest = tally.groupBy("comp").agg(F.max_by("label", F.struct("count", "label")).alias("top"))
+        led = keep("led", picked if led is None else led.unionByName(picked))
         # from all members: those of a former largest class are open again
         left = labels.join(biggest, "comp").where("label <> top").select("comp", "doc_id").distinct()
-        open_ = stored(left.join(led, ["comp", "doc_id"], "left_anti"))
+        open_ = keep("open", left.join(led, ["comp", "doc_id"], "left_anti"))
         if not open_.limit(1).count():
+            for name in ("large", "members", "picked", "led", "open"):
+                release(spark, paths[name])
             return links
         leaders_n *= 2
 
@@ -362,13 +420,14 @@ def similar_classes(docs: DataFrame, width: int, percent: int, key: str = "doc_i
     empty result.
     """
     docs = keyed(docs, key, text).withColumnsRenamed({key: "doc_id", text: "text"}).withColumn("doc_id", F.col("doc_id").cast("long"))
-    sets = stored(document_sets(docs, width, "doc_id", "text"))
+    told = stored(document_sets(docs, width, "doc_id", "text"))
+    sets = told.where("n_shingles >= 0")
     some = sets.where("n_shingles > 0 and doc_id is not null")
     reps = stored(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n")))
     total, rows = some.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
     parts = max(8, -(-total // REDUCER))
     hot = {(r.k1, r.k2): r.rep for r in reps.where(F.col("copies") > max(8, rows // HOT)).collect()}
-    dealt = _dealt(docs, width, percent, int(parts), hot, "doc_id", "text").repartition(int(parts), "part")
+    dealt = _dealt(docs, width, percent, int(parts), hot, common_shingles(told, rows), "doc_id", "text").repartition(int(parts), "part")
     found = stored(_candidates(_shared(dealt), percent))
     return _joined(docs, sets, reps, found, percent)
 
