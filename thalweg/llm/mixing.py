@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, keyed, map_arrow, ranked, stored, table
+from .common import batch, keyed, map_arrow, ranked, stored, table, utf8
 
 WEIGHTS, MOST, SEED = (1.0, 2.0, 3.0), 3, 17
 #: Words of a budget that dynamic programming fits exactly; what is above is spent in proportion first.
@@ -93,6 +93,10 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, exact: int =
     return take
 
 
+def text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int = SEED, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, text_hash, source, size, source_size, target, copies: how often the mix takes each document.
 
@@ -105,15 +109,10 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int =
     spark, kinds = docs.sparkSession, dict(docs.dtypes)
 
     def run(batches, schema):
-        import xxhash
-
-        from .common import utf8
-
         for b in batches:
-            raw = utf8(b.column(1))
-            yield batch(schema, b.column(0), b.column(2), [n_words(t) for t in raw], [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in raw])
+            yield batch(schema, b.column(0), b.column(2), [n_words(t) for t in utf8(b.column(1))], b.column(3))
 
-    sized = stored(map_arrow(keyed(docs, key, text, source), run, f"doc_id {kinds[key]}, source {kinds[source]}, size bigint, text_hash bigint"))
+    sized = stored(map_arrow(keyed(docs, key, text, source).withColumn("h", text_hash(text)), run, f"doc_id {kinds[key]}, source {kinds[source]}, size bigint, text_hash bigint"))
     totals = {r[0]: int(r[1] or 0) for r in sized.groupBy("source").agg(F.sum("size")).collect()}
     goal = targets(totals, weights, most)
     whole = {s: int(min(most, goal[s] // totals[s])) if totals[s] else 0 for s in totals}

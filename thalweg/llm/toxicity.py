@@ -53,7 +53,7 @@ class SubwordModel:
         self.E = r.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
         self.W = r.normal(0, 0.5, (DIM, 2)).astype(np.float32)
         self.b = np.zeros(2, np.float32)
-        self.scale, self.shift, self.prior = 1.0, 0.0, None
+        self.scale, self.shift, self.prior, self.empty = 1.0, 0.0, None, 0.0
 
     def amounts(self, words: list[bytes]) -> np.ndarray:
         """What each word adds: its vector times the difference of the two outputs."""
@@ -72,7 +72,7 @@ class SubwordModel:
         return (total[n:] - total[:-n]) / n
 
     def logit(self, amounts: np.ndarray) -> float:
-        return float(self.means(amounts).max() + self.b[1] - self.b[0]) if len(amounts) else float(self.b[1] - self.b[0])
+        return float(self.means(amounts).max() + self.b[1] - self.b[0]) if len(amounts) else self.empty
 
     def probability(self, logits: np.ndarray) -> np.ndarray:
         if self.prior is not None:
@@ -159,6 +159,8 @@ class SubwordModel:
         amount = all_amounts()
         z = np.array([self.logit(amount[rows[i]]) for i in hold])
         a, b, t = 1.0 / max(1.0, float(z.std())), 0.0, y[hold]
+        # a text without words is as likely toxic as the median document that isn't
+        self.empty = float(np.median(z[t == 0])) if (t == 0).any() else 0.0
         for _ in range(2000):
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
             a, b = a - 0.02 * float(((p - t) * z).mean()), b - 0.05 * float((p - t).mean())
@@ -176,7 +178,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     for y, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(most)
         some = part if some is None else some.unionByName(part)
-    rows = keyed(docs, key, text).toDF("k", "t").join(F.broadcast(some), "k").limit(2 * (SAMPLE_TOXIC + SAMPLE_CLEAN)).collect()
+    texts = keyed(docs, key, text).toDF("k", "t").join(F.broadcast(some), "k")
+    rows = texts.orderBy(F.xxhash64("k"), "k", "y", "t").limit(2 * (SAMPLE_TOXIC + SAMPLE_CLEAN)).collect()
     rows = sorted((r.k, r.y, r.t or "") for r in rows)
     return SubwordModel().fit([t.encode() for _, _, t in rows], [y for _, y, _ in rows])
 
@@ -184,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def score(docs: DataFrame, model: SubwordModel, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """key, score (0 to 1) of each whole text, and the columns named in keep.
 
-    Null text counts as empty; an empty text gets the score of no words. Each row is scored alone, so
+    Null text counts as empty; an empty text gets the score of the median clean document. Each row is scored alone, so
     null keys, repeated rows and other columns change nothing.
     """
 
