@@ -34,6 +34,8 @@ LONG = 4_000
 CLASS_DOCS, CLASS_SHINGLES = 240, 4_000_000
 #: Documents that one task of such a round compares, and documents that they are compared with in each round.
 CHUNK, LEADERS = 200, 48
+#: Large classes, of a few numbers each, that are told to every task at most.
+TOLD = 1 << 20
 
 
 def set_hashes(s: np.ndarray) -> tuple[int, int]:
@@ -343,6 +345,11 @@ def _classes(percent: int):
     return run
 
 
+def _told(classes: DataFrame) -> DataFrame:
+    """A row for each large class, broadcast up to TOLD of them: a join by class would shuffle it into one task first."""
+    return F.broadcast(classes) if classes.count() <= TOLD else classes
+
+
 def _rounds(large: DataFrame, percent: int) -> DataFrame | None:
     """Links of candidate classes too large for one task: (a, b).
 
@@ -365,7 +372,7 @@ def _rounds(large: DataFrame, percent: int) -> DataFrame | None:
         return out
 
     large = keep("large", large)
-    sizes = large.groupBy("comp").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    sizes = _told(large.groupBy("comp").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")))
     if not large.limit(1).count():
         return None
     members = keep("members", large.join(sizes, "comp").withColumn("salt", F.pmod(F.xxhash64("doc_id"), "chunks")).drop("chunks"))
@@ -387,7 +394,7 @@ def _rounds(large: DataFrame, percent: int) -> DataFrame | None:
         return pa.Table.from_batches([batch(schema, *zip(*rows))] if rows else [], schema)
 
     while True:
-        counts = open_.groupBy("comp").agg(F.count("*").alias("c"))
+        counts = _told(open_.groupBy("comp").agg(F.count("*").alias("c")))
         picked = open_.join(counts, "comp").where(F.pmod(F.xxhash64("doc_id", F.lit(leaders_n)), F.col("c")) < leaders_n).select("comp", "doc_id")
         # a class whose hash picked none still goes on by its least open member
         picked = keep("picked", picked.unionByName(open_.groupBy("comp").agg(F.min("doc_id").alias("doc_id"))).distinct())
@@ -397,13 +404,13 @@ def _rounds(large: DataFrame, percent: int) -> DataFrame | None:
         links = keep("links", found if links is None else links.unionByName(found))
         labels = members.select("comp", "doc_id").join(components(links), F.col("doc_id") == F.col("node"), "left").select("comp", "doc_id", F.coalesce("component", "doc_id").alias("label"))
         tally = labels.groupBy("comp", "label").count()
-        biggest = tally.groupBy("comp").agg(F.max_by("label", F.struct("count", "label")).alias("top"))
+        biggest = _told(keep("biggest", tally.groupBy("comp").agg(F.max_by("label", F.struct("count", "label")).alias("top"))))
         led = keep("led", picked if led is None else led.unionByName(picked))
         # from all members: those of a former largest class are open again
         left = labels.join(biggest, "comp").where("label <> top").select("comp", "doc_id").distinct()
         open_ = keep("open", left.join(led, ["comp", "doc_id"], "left_anti"))
         if not open_.limit(1).count():
-            for name in ("large", "members", "picked", "led", "open"):
+            for name in ("large", "members", "picked", "led", "open", "biggest"):
                 release(spark, paths[name])
             return links
         leaders_n *= 2
@@ -440,7 +447,7 @@ def _joined(docs: DataFrame, sets: DataFrame, reps: DataFrame, found: DataFrame,
     classes = components(star)
     grouped = stored(found.drop("sigs").join(classes, F.col("doc_id") == F.col("node")).select(F.col("component").alias("comp"), "doc_id", "n", "tokens"))
     weight = grouped.groupBy("comp").agg(F.count("*").alias("c"), (F.sum(F.length("tokens")) / 8).alias("w"))
-    big = weight.where((F.col("c") > CLASS_DOCS) | (F.col("w") > CLASS_SHINGLES)).select("comp")
+    big = _told(stored(weight.where((F.col("c") > CLASS_DOCS) | (F.col("w") > CLASS_SHINGLES)).select("comp")))
     links = grouped.join(big, "comp", "left_anti").groupBy("comp").applyInArrow(_classes(percent), "a bigint, b bigint")
     more = _rounds(grouped.join(big, "comp", "left_semi"), percent)
     links = links if more is None else links.unionByName(more)
