@@ -91,9 +91,13 @@ class SubwordModel:
         r = np.random.default_rng(seed)
         vocabulary: dict[bytes, int] = {}
         rows = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in t.lower().split()), np.int64) for t in texts]
-        ids, own = grams(list(vocabulary))
-        first = np.concatenate(([0], np.cumsum(np.bincount(own, minlength=len(vocabulary)))))
-        ids = ids[np.argsort(own, kind="stable")].astype(np.int32)
+        parts, counts, every = [], [], list(vocabulary)
+        for k in range(0, len(every), 20_000):  # a few words at once: the arrays of all would fill the driver
+            some_ids, own = grams(every[k : k + 20_000])
+            parts.append(some_ids[np.argsort(own, kind="stable")].astype(np.int32))
+            counts.append(np.bincount(own, minlength=len(every[k : k + 20_000])))
+        ids = np.concatenate([np.zeros(0, np.int32), *parts])
+        first = np.concatenate(([0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *counts]))))
         share = len(vocabulary)
         order = np.array([i for i in r.permutation(len(rows)) if len(rows[i])])
         if not len(order):
@@ -106,8 +110,7 @@ class SubwordModel:
 
         def all_amounts() -> np.ndarray:
             per = (self.E @ (self.W[:, 1] - self.W[:, 0]))[ids]
-            total = np.concatenate(([0.0], np.cumsum(per, dtype=np.float64)))
-            return (total[first[1:]] - total[first[:-1]]) / np.maximum(np.diff(first), 1)
+            return np.add.reduceat(per, first[:-1]) / np.diff(first)  # every word has a gram
 
         for epoch in range(epochs):
             amount = all_amounts() if epoch else np.zeros(share)
@@ -171,7 +174,8 @@ class SubwordModel:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> SubwordModel:
     """Fits on at most SAMPLE_TOXIC + SAMPLE_CLEAN labelled rows, of those whose crc32(key as text) mod 4 is not 2.
 
-    A hash of the key picks the rows. Rows whose key or label is null take no part.
+    A hash of the key picks the rows; of the texts of a repeated key, the least and the largest train. Rows
+    whose key or label is null take no part.
     """
     known = keyed(labels, key, label).toDF("k", "y").where("k is not null and y in (0, 1)").where(F.pmod(F.crc32(F.col("k").cast("string").cast("binary")), F.lit(4)) != 2).distinct()
     some = None
@@ -179,9 +183,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(most)
         some = part if some is None else some.unionByName(part)
     texts = keyed(docs, key, text).toDF("k", "t").join(F.broadcast(some), "k")
-    rows = texts.orderBy(F.xxhash64("k"), "k", "y", "t").limit(2 * (SAMPLE_TOXIC + SAMPLE_CLEAN)).collect()
-    rows = sorted((r.k, r.y, r.t or "") for r in rows)
-    return SubwordModel().fit([t.encode() for _, _, t in rows], [y for _, y, _ in rows])
+    t = F.coalesce("t", F.lit(""))
+    texts = texts.groupBy("k", "y").agg(F.array_distinct(F.array(F.min(t), F.max(t))).alias("t")).select("k", "y", F.explode("t").alias("t"))
+    rows = sorted(texts.collect(), key=lambda r: (r.k, r.y, r.t))
+    return SubwordModel().fit([r.t.encode() for r in rows], [r.y for r in rows])
 
 
 def score(docs: DataFrame, model: SubwordModel, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
