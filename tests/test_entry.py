@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 from thalweg import catalogue
 
 DIR = "/root/testdata/sf0.001"
-SLOW = {"fd8_accumulation", "network_index", "sediment_risk"}
+SLOW = {"fd8_accumulation", "network_index", "sediment_lines", "sediment_risk"}
 
 
 def test_entry_has_rows(spark):

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from thalweg.functions import expr
 from thalweg.operators import flow, neighbour, stats, vector
 from thalweg.operators.condition import breach_array
+from thalweg.plans import pipelines
+from thalweg.sources import grid as g
 from thalweg.sources.grid import Grid, check_aligned, check_outputs
 
 
@@ -51,6 +53,21 @@ def test_percentiles_by_rank_search_equal_the_aggregate(spark, monkeypatch):
     assert stats.percentiles(df, "v", [0.05, 0.5, 0.95]) == pytest.approx(exact)
 
 
+@pytest.mark.parametrize("top", [2, 40])
+def test_percentiles_of_values_that_repeat(spark, monkeypatch, top):
+    df = spark.range(4000).select((F.col("id") * F.col("id") % top).cast("double").alias("v"))
+    exact = stats.percentiles(df, "v", [0.05, 0.5, 0.95])
+    monkeypatch.setattr(stats, "HELD", 50)
+    assert stats.percentiles(df, "v", [0.05, 0.5, 0.95]) == pytest.approx(exact)
+
+
+def test_medians_of_large_layers_equal_the_grouping(spark, monkeypatch):
+    df = spark.range(900).select(F.lit("rain").alias("kind"), F.when(F.col("id") < 800, 1).otherwise(2).alias("layer_id"), F.col("id").alias("cell_id"), (F.col("id") * 37 % 611).cast("double").alias("value"))
+    exact = sorted(map(tuple, stats.layer_stats(df).collect()))
+    monkeypatch.setattr(stats, "HELD", 200)
+    assert sorted(map(tuple, stats.layer_stats(df).collect())) == exact
+
+
 def test_stretch_where_the_median_is_the_least_value(spark):
     v = spark.createDataFrame([(1.0,), (2.0,), (None,)], "v double")
     got = v.select(expr.peak_at_median(F.col("v"), F.lit(1.0), F.lit(1.0), F.lit(3.0)).alias("s")).collect()
@@ -94,6 +111,30 @@ def test_snap_keeps_far_points(spark):
     assert got == {1: (3.0, 0.0, True), 2: (3.0, 9.0, False)}
 
 
+@pytest.mark.parametrize("limit", [None, 4.0])
+def test_snap_equals_brute_force(spark, limit):
+    rng = np.random.default_rng(5)
+    ends, at = rng.uniform(-40, 40, (30, 2, 2)), np.vstack([rng.uniform(-50, 50, (60, 2)), [[900.0, -700.0]]])
+    lines = spark.createDataFrame([(i, k, float(x), float(y)) for i, e in enumerate(ends) for k, (x, y) in enumerate(e)], "line_id long, seq int, x double, y double")
+    p = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)] + [(99, None, 1.0)], "point_id long, x double, y double")
+    got = {r.point_id: r for r in vector.snap(p, lines, limit).collect()}
+    assert len(got) == 62 and not got[99].snapped
+    for i, q in enumerate(at):
+        v = ends[:, 1] - ends[:, 0]
+        t = np.clip(((q - ends[:, 0]) * v).sum(1) / (v * v).sum(1), 0, 1)
+        near = ends[:, 0] + t[:, None] * v
+        d = np.hypot(*(q - near).T)
+        snapped = limit is None or d.min() <= limit
+        assert got[i].snapped == snapped
+        assert (got[i].x, got[i].y) == pytest.approx(tuple(near[d.argmin()] if snapped else q))
+
+
+def test_snap_without_lines(spark):
+    p = spark.createDataFrame([(1, 3.0, 1.0)], "point_id long, x double, y double")
+    none = spark.createDataFrame([], "line_id long, seq int, x double, y double")
+    assert [tuple(r) for r in vector.snap(p, none, None).collect()] == [(1, 3.0, 1.0, False)]
+
+
 def test_links_break_at_junctions(spark):
     succ = spark.createDataFrame([(0, 2), (1, 2), (2, 3), (3, None)], "cell_id long, next_id long")
     got = sorted((r.line_id, r.seq, r.cell_id) for r in flow.stream_links(succ.select("cell_id"), succ).collect())
@@ -105,6 +146,67 @@ def test_breaching_lets_every_cell_drain():
     assert out[1, 2] <= out[1, 1] and out[1, 3] <= out[1, 2]
 
 
+def _basin(spark):
+    rng = np.random.default_rng(11)
+    dem = rng.uniform(0, 9, (7, 8)) + np.abs(np.arange(8) - 3)[None, :]
+    dem[3, 3] = -5.0
+    plain, done = grid(spark, dem.tolist()), grid(spark, breach_array(dem).tolist())
+    return plain, done, Grid(8, 7)
+
+
+def test_tools_walk_on_breached_heights(spark):
+    plain, done, grid_ = _basin(spark)
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=lambda r: r[0])
+    extra = {"lc": (F.col("cell_id") % 5 + 1) / 5, "rain": 500.0 + F.col("cell_id") % 3}
+    points = spark.createDataFrame([(1, 3.5, -0.5), (2, 0.5, -6.5)], "point_id long, x double, y double")
+    for tool in (
+        lambda c, **k: pipelines.network_index(c, grid_, 5.0, **k),
+        lambda c, **k: pipelines.sediment_risk(c.withColumns(extra), grid_, 3.0, network_cells=5.0, **k),
+        lambda c, **k: pipelines.overland_flow_distance(c, grid_, points, **k),
+    ):
+        for a, b in zip(rows(tool(plain)), rows(tool(done, condition=False)), strict=True):
+            assert [x is None for x in a] == [x is None for x in b]
+            assert [x for x in a if x is not None] == pytest.approx([x for x in b if x is not None])
+
+
+def test_accumulation_is_the_same_when_frontiers_are_added_early(spark, monkeypatch):
+    plain, _, grid_ = _basin(spark)
+    want = {r.cell_id: r.acc for r in flow.accumulation(plain, grid_.cols).collect()}
+    monkeypatch.setattr(flow, "FRONTIERS", 2)
+    got = {r.cell_id: r.acc for r in flow.accumulation(plain, grid_.cols).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_files_of_grids_and_lines(spark, tmp_path):
+    path = tmp_path / "a.asc"
+    path.write_text("ncols 3\nnrows 2\nxllcorner 10\nyllcorner 20\ncellsize 5\nNODATA_value -9999\n1 2 3\n4 5 -9999\n")
+    read, cells = g.read_ascii_grid(spark, str(path))
+    assert (read.cols, read.rows, read.gt, read.nodata) == (3, 2, (10.0, 5.0, 0.0, 30.0, 0.0, -5.0), -9999.0)
+    assert [r.value for r in cells.orderBy("cell_id").collect()] == [1, 2, 3, 4, 5, -9999]
+    out = str(tmp_path / "raster")
+    g.write_raster(cells.withColumn("value", expr.decode_exact(F.col("value"), read.nodata)), out, "value")
+    assert [r.value for r in g.read_cells(spark, out).orderBy("cell_id").collect()] == [1, 2, 3, 4, 5, -9999]
+    lines = spark.createDataFrame([(1, 1, 2.0, 0.0, 0.5), (1, 0, 1.0, 0.0, 0.5)], "line_id long, seq int, x double, y double, risk double")
+    g.write_lines(lines, str(tmp_path / "lines"))
+    assert [(r.line_id, r.risk, r.wkt) for r in spark.read.parquet(str(tmp_path / "lines")).collect()] == [(1, 0.5, "LINESTRING (1.0 0.0, 2.0 0.0)")]
+    both = g.stack_layers([("rain", 1, cells), ("ofd", 2, cells)])
+    assert both.count() == 12 and both.columns == ["kind", "layer_id", "cell_id", "value"]
+    with pytest.raises(ValueError, match="no layers"):
+        g.stack_layers([])
+
+
+def test_differing_reference_systems_are_refused(spark):
+    plain, _, _ = _basin(spark)
+    here = Grid(8, 7, crs="EPSG:27700")
+    points = spark.createDataFrame([(1, 3.5, -0.5)], "point_id long, x double, y double")
+    with pytest.raises(ValueError, match="reference system"):
+        pipelines.overland_flow_distance(plain, here, points, points_crs="EPSG:4326")
+    with pytest.raises(ValueError, match="reference system"):
+        check_aligned(here, Grid(8, 7, crs="EPSG:4326"), "rain")
+    with pytest.raises(ValueError, match="rain: its size"):
+        pipelines.flood_risk(plain, plain, here, {"rain": Grid(8, 6)})
+
+
 def test_parameters_are_checked():
     with pytest.raises(ValueError):
         check_aligned(Grid(2, 2), Grid(2, 3), "rain")

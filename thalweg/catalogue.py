@@ -172,7 +172,12 @@ def _distance(s, d) -> DataFrame:
 _DIST = f"points targets {_SUCC} dwalk dist"
 query("flow_distance", _DIST, "SELECT cell_id, round(distance, 6) AS distance FROM dist")(lambda s, d: rounded(_distance(s, d), "distance"))
 query("flow_distance_unreached", _DIST, "SELECT count(*) AS n, count(distance) AS reached FROM dist")(lambda s, d: _distance(s, d).agg(F.count("*").alias("n"), F.count("distance").alias("reached")))
-query("overland_flow_distance", _DIST, "SELECT cell_id, round(distance, 6) AS distance FROM dist")(lambda s, d: rounded(pipelines.overland_flow_distance(_cells(s, d), fx.grid(s, d), fx.points(s, d)), "distance"))
+query("overland_flow_distance", _DIST, "SELECT cell_id, round(distance, 6) AS distance FROM dist")(lambda s, d: rounded(pipelines.overland_flow_distance(_cells(s, d), fx.grid(s, d), fx.points(s, d), condition=False), "distance"))
+STEPS["targets2"] = "SELECT DISTINCT greatest(0, CAST(trunc((CASE WHEN d > 2 THEN py ELSE y END - 0) / -1.0) AS BIGINT)) * 100 + least(99, CAST(trunc(CASE WHEN d > 2 THEN px ELSE x END) AS BIGINT)) AS cell_id FROM near"
+STEPS["dwalk2"], STEPS["dist2"] = STEPS["dwalk"].replace("dwalk", "dwalk2").replace("targets", "targets2"), STEPS["dist"].replace("dwalk", "dwalk2").replace("targets", "targets2")
+query("overland_flow_distance_snapped", f"points lines seg near targets2 {_SUCC} dwalk2 dist2", "SELECT cell_id, round(distance, 6) AS distance FROM dist2")(
+    lambda s, d: rounded(pipelines.overland_flow_distance(_cells(s, d), fx.grid(s, d), fx.points(s, d), fx.lines(s, d), 2.0, condition=False), "distance"))
+query("overland_flow_distance_breached")(lambda s, d: rounded(pipelines.overland_flow_distance(_cells(s, d), fx.grid(s, d), fx.points(s, d)), "distance"))
 
 _FD8 = f"{_EDGES} weights"
 query("fd8_weights", _FD8, "SELECT src, dst, round(w, 6) AS w FROM weights")(lambda s, d: rounded(neighbour.flow_weights(_cells(s, d), 100), "w"))
@@ -233,9 +238,26 @@ STEPS |= {
     "out1": f"SELECT *, {NORM.format(v='f').replace('lo', 'clo').replace('hi', 'chi')} AS connectivity, {NORM.format(v='raw').replace('lo', 'elo').replace('hi', 'ehi')} AS erosion FROM tr1, (SELECT quantile_cont(f, 0.05) AS clo, quantile_cont(f, 0.95) AS chi, quantile_cont(raw, 0.05) AS elo, quantile_cont(raw, 0.95) AS ehi FROM tr1)",
 }
 query("network_index", f"{_SUCC} slopes weights front accs w2 walk2 tr2", f"SELECT cell_id, round(acc, 5) AS acc, terminal AS channel, round({NORM.format(v='value')}, 5) AS connectivity FROM tr2, {BOUNDS.format(v='value', t='tr2')}")(
-    lambda s, d: pipelines.network_index(_cells(s, d).select("cell_id", "row", "col", "dem"), fx.grid(s, d), 20.0).select("cell_id", F.round("acc", 5).alias("acc"), "channel", F.round("connectivity", 5).alias("connectivity")))
+    lambda s, d: pipelines.network_index(_cells(s, d).select("cell_id", "row", "col", "dem"), fx.grid(s, d), 20.0, condition=False).select("cell_id", F.round("acc", 5).alias("acc"), "channel", F.round("connectivity", 5).alias("connectivity")))
 query("sediment_risk", f"{_SUCC} slopes weights front accs rsc w1 walk1 tr1 out1", "SELECT cell_id, round(connectivity, 5) AS connectivity, round(erosion, 5) AS erosion, round(CASE WHEN acc >= 10 THEN connectivity * erosion * acc / (acc * rain_s + 1e-10) END, 5) AS risk FROM out1")(
-    lambda s, d: pipelines.sediment_risk(_cells(s, d).select("cell_id", "row", "col", "dem", "lc", "rain"), fx.grid(s, d), 10.0, network_cells=20.0).select("cell_id", *[F.round(c, 5).alias(c) for c in ("connectivity", "erosion", "risk")]))
+    lambda s, d: pipelines.sediment_risk(_cells(s, d).select("cell_id", "row", "col", "dem", "lc", "rain"), fx.grid(s, d), 10.0, network_cells=20.0, condition=False).select("cell_id", *[F.round(c, 5).alias(c) for c in ("connectivity", "erosion", "risk")]))
+
+query("network_index_breached")(
+    lambda s, d: pipelines.network_index(_cells(s, d).select("cell_id", "row", "col", "dem"), fx.grid(s, d), 20.0).select("cell_id", F.round("acc", 5).alias("acc"), "channel", F.round("connectivity", 5).alias("connectivity")))
+STEPS |= {
+    "risk1": "SELECT cell_id, next_id, terminal, CASE WHEN acc >= 10 THEN connectivity * erosion * acc / (acc * rain_s + 1e-10) END AS risk FROM out1",
+    "st1": "SELECT a.cell_id, b.cell_id AS next_id FROM risk1 a LEFT JOIN risk1 b ON a.next_id = b.cell_id AND b.terminal WHERE a.terminal",
+    "heads1": "SELECT cell_id FROM st1 LEFT JOIN (SELECT next_id AS c, count(*) AS n FROM st1 WHERE next_id IS NOT NULL GROUP BY next_id) ON c = cell_id WHERE coalesce(n, 0) <> 1",
+    "lwalk1": "SELECT cell_id AS line_id, CAST(0 AS BIGINT) AS seq, cell_id, false AS stop FROM heads1 UNION ALL SELECT line_id, seq + 1, s.next_id, s.next_id IN (SELECT cell_id FROM heads1) FROM lwalk1 w JOIN st1 s ON w.cell_id = s.cell_id WHERE NOT stop AND s.next_id IS NOT NULL",
+}
+
+
+@query("sediment_lines", f"{_SUCC} slopes weights front accs rsc w1 walk1 tr1 out1 risk1 st1 heads1 lwalk1", "SELECT line_id, seq, cell_id, cell_id % 100 + 0.5E0 AS x, -(cell_id // 100 + 0.5E0) AS y, round(avg(risk) OVER (PARTITION BY line_id), 5) AS risk FROM lwalk1 JOIN risk1 USING (cell_id)")
+def _sediment_lines(s, d):
+    cells, grid = _cells(s, d).select("cell_id", "row", "col", "dem", "lc", "rain"), fx.grid(s, d)
+    risk = pipelines.sediment_risk(cells, grid, 10.0, network_cells=20.0, condition=False)
+    out = pipelines.sediment_lines(cells, risk, grid)
+    return out.select("line_id", "seq", "cell_id", "x", "y", F.round("risk", 5).alias("risk"))
 
 
 def queries() -> dict:

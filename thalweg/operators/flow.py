@@ -7,10 +7,13 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.grid import cut
+from ..sources.grid import cut, union
 from . import neighbour
 from .stats import percentile_normalise
 
+#: Frontiers that accumulate() keeps apart before it adds them up.
+FRONTIERS = 32
+
 
 def trace_start(cells: DataFrame) -> DataFrame:
     """cells: (cell_id, value, next_id, terminal). Value, next and done before any doubling.
@@ -26,19 +29,20 @@ def trace_start(cells: DataFrame) -> DataFrame:
 def trace_min(cells: DataFrame) -> DataFrame:
     """(cell_id, value): the least value along each cell's path, up to the first terminal successor.
 
-    Pointer doubling: a path of L cells takes about log2 L rounds. Cycles end at the round limit with
-    what they have.
+    Pointer doubling: a path of L cells takes about log2 L rounds, each of which joins and writes only the
+    cells whose path goes on. Cycles end at the round limit with what they have.
     """
     state = cut(trace_start(cells))
     n = state.count()
+    done, active = [state.where("done")], state.where("not done")
     for _ in range(max(1, math.ceil(math.log2(max(n, 2))) + 2)):
-        if not state.where("not done").limit(1).count():
+        if not active.limit(1).count():
             break
-        to = state.select(F.col("cell_id").alias("_to"), F.col("value").alias("_v"), F.col("next_id").alias("_n"), F.col("done").alias("_d"))
-        j = state.join(to, F.when(~F.col("done"), F.col("next_id")) == F.col("_to"), "left")
-        value = F.when(F.col("done"), F.col("value")).otherwise(F.least("value", "_v"))
-        state = cut(j.select("cell_id", value.alias("value"), F.when(F.col("done"), F.col("next_id")).otherwise(F.col("_n")).alias("next_id"), (F.col("done") | F.coalesce("_d", F.lit(True))).alias("done")))
-    return state.select("cell_id", "value")
+        to = union([*done, active]).select(F.col("cell_id").alias("_to"), F.col("value").alias("_v"), F.col("next_id").alias("_n"), F.col("done").alias("_d"))
+        j = active.join(to, F.col("next_id") == F.col("_to"), "left")
+        new = cut(j.select("cell_id", F.least("value", "_v").alias("value"), F.col("_n").alias("next_id"), F.coalesce("_d", F.lit(True)).alias("done")))
+        done, active = [*done, new.where("done")], new.where("not done")
+    return union([*done, active]).select("cell_id", "value")
 
 
 def distance(successors: DataFrame, targets: DataFrame, cols: int, dx: float = 1.0, dy: float = 1.0) -> DataFrame:
@@ -49,27 +53,38 @@ def distance(successors: DataFrame, targets: DataFrame, cols: int, dx: float = 1
     step = F.when(F.col("hit") | F.col("next_id").isNull(), F.lit(0.0)).otherwise(F.hypot(dc.cast("double"), dr.cast("double")))
     state = cut(s.select("cell_id", step.alias("d"), F.when(~F.col("hit"), F.col("next_id")).alias("next_id"), "hit"))
     n = state.count()
+    done, active = [state.where("next_id is null")], state.where("next_id is not null")
     for _ in range(max(1, math.ceil(math.log2(max(n, 2))) + 2)):
-        if not state.where("next_id is not null").limit(1).count():
+        if not active.limit(1).count():
             break
-        to = state.select(F.col("cell_id").alias("_to"), F.col("d").alias("_d"), F.col("next_id").alias("_n"), F.col("hit").alias("_h"))
-        j = state.join(to, F.col("next_id") == F.col("_to"), "left")
-        state = cut(j.select("cell_id", (F.col("d") + F.coalesce("_d", F.lit(0.0))).alias("d"), F.col("_n").alias("next_id"), (F.col("hit") | F.coalesce("_h", F.lit(False))).alias("hit")))
-    return state.select("cell_id", F.when(F.col("hit"), F.col("d")).alias("distance"))
+        to = union([*done, active]).select(F.col("cell_id").alias("_to"), F.col("d").alias("_d"), F.col("next_id").alias("_n"), F.col("hit").alias("_h"))
+        j = active.join(to, F.col("next_id") == F.col("_to"), "left")
+        new = cut(j.select("cell_id", (F.col("d") + F.coalesce("_d", F.lit(0.0))).alias("d"), F.col("_n").alias("next_id"), F.coalesce("_h", F.lit(False)).alias("hit")))
+        done, active = [*done, new.where("next_id is null")], new.where("next_id is not null")
+    return union([*done, active]).select("cell_id", F.when(F.col("hit"), F.col("d")).alias("distance"))
 
 
 def accumulate(cells: DataFrame, weights: DataFrame) -> DataFrame:
-    """(cell_id, acc): each cell's own unit and all that flows into it, frontier by frontier."""
+    """(cell_id, acc): each cell's own unit and all that flows into it, frontier by frontier.
+
+    A round touches only the cells that flow reaches in it; frontiers are added up at the end, and
+    whenever FRONTIERS of them have gathered.
+    """
     weights = cut(weights)
     frontier = cells.where("dem is not null").select("cell_id", F.lit(1.0).alias("f"))
-    total = frontier
+    parts = [frontier]
+
+    def total() -> DataFrame:
+        return union(parts).groupBy("cell_id").agg(F.sum("f").alias("f"))
+
     while True:
         frontier = cut(frontier.join(weights, F.col("cell_id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("f") * F.col("w")).alias("f")).withColumnRenamed("dst", "cell_id"))
         if not frontier.limit(1).count():
             break
-        both = total.alias("t").join(frontier.alias("n"), "cell_id", "left")
-        total = cut(both.select("cell_id", (F.col("t.f") + F.coalesce("n.f", F.lit(0.0))).alias("f")))
-    return total.withColumnRenamed("f", "acc")
+        parts.append(frontier)
+        if len(parts) > FRONTIERS:
+            parts = [cut(total())]
+    return total().withColumnRenamed("f", "acc")
 
 
 def accumulation(cells: DataFrame, cols: int, exponent: float = 2.0) -> DataFrame:
@@ -99,14 +114,15 @@ def stream_links(streams: DataFrame, successors: DataFrame) -> DataFrame:
     one = F.coalesce("n", F.lit(0)) == 1
     state = cut(j.select("cell_id", "next_id", F.when(one, F.col("from")).otherwise(F.col("cell_id")).alias("root"), F.when(one, 1).otherwise(0).cast("long").alias("seq"), (~one).alias("start")))
     links = state.select("cell_id", "next_id", "start")
-    state = state.select("cell_id", "root", "seq")
+    state = state.select("cell_id", "root", "seq", F.col("start").alias("done"))
+    done, active = [state.where("done")], state.where("not done")
     for _ in range(64):
-        to = state.select(F.col("cell_id").alias("_to"), F.col("root").alias("_r"), F.col("seq").alias("_s"))
-        new = cut(state.join(to, F.col("root") == F.col("_to")).select("cell_id", F.col("_r").alias("root"), (F.col("seq") + F.col("_s")).alias("seq"), (F.col("_r") != F.col("root")).alias("moved")))
-        state = new.select("cell_id", "root", "seq")
-        if not new.where("moved").limit(1).count():
+        if not active.limit(1).count():
             break
-    own = state.select(F.col("root").alias("line_id"), "seq", "cell_id")
+        to = union([*done, active]).select(F.col("cell_id").alias("_to"), F.col("root").alias("_r"), F.col("seq").alias("_s"), F.col("done").alias("_d"))
+        new = cut(active.join(to, F.col("root") == F.col("_to")).select("cell_id", F.col("_r").alias("root"), (F.col("seq") + F.col("_s")).alias("seq"), F.col("_d").alias("done")))
+        done, active = [*done, new.where("done")], new.where("not done")
+    own = union([*done, active]).select(F.col("root").alias("line_id"), "seq", "cell_id")
     starts = links.where("start").select(F.col("cell_id").alias("_st"))
     ends = own.join(links.select(F.col("cell_id").alias("_c"), F.col("next_id")), F.col("cell_id") == F.col("_c")).join(starts, F.col("next_id") == F.col("_st"))
     return own.unionByName(ends.select("line_id", (F.col("seq") + 1).alias("seq"), F.col("next_id").alias("cell_id")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ def percentiles(df: DataFrame, column: str, shares: list[float]) -> list[float |
     """Exact percentiles with linear interpolation over non-null values, at any size.
 
     Beyond HELD values, each needed rank is bracketed by approximate percentiles of what is left,
-    until a bracket is small enough to sort.
+    until a bracket is small enough to sort. A rank outside its bracket is sought in a wider one, and
+    values that repeat at a bracket's ends are counted instead of kept.
     """
     values = df.select(F.col(column).alias("v")).where("v is not null")
     n = values.count()
@@ -25,16 +28,20 @@ def percentiles(df: DataFrame, column: str, shares: list[float]) -> list[float |
         return values.agg(F.percentile("v", F.array(*[F.lit(s) for s in shares]))).first()[0]
 
     def at(rank: int) -> float:
-        part, below, size = values, 0, n
+        part, below, size, width = values, 0, n, 0.001
         while size > HELD:
             q = (rank - below) / size
-            lo, hi = part.approxQuantile("v", [max(0.0, q - 0.001), min(1.0, q + 0.001)], 0.0005)
-            under, within = part.agg(F.count_if(F.col("v") < lo), F.count_if((F.col("v") >= lo) & (F.col("v") <= hi))).first()
-            if not under <= rank - below < under + within or within == size:
-                return part.approxQuantile("v", [q], 0.0)[0]
-            part, below, size = part.where((F.col("v") >= lo) & (F.col("v") <= hi)), below + under, within
-            if lo == hi:
+            lo, hi = part.approxQuantile("v", [max(0.0, q - width), min(1.0, q + width)], 0.0005)
+            v, k = F.col("v"), rank - below
+            under, low, between, high = part.agg(F.count_if(v < lo), F.count_if(v == lo), F.count_if((v > lo) & (v < hi)), F.count_if(v == hi)).first()
+            if not under <= k < under + low + between + (high if hi > lo else 0):
+                width *= 4
+                continue
+            if k < under + low:
                 return lo
+            if k >= under + low + between:
+                return hi
+            part, below, size = part.where((v > lo) & (v < hi)), below + under + low, between
         return part.agg(F.sort_array(F.collect_list("v"))[rank - below]).first()[0]
 
     out = []
@@ -69,9 +76,27 @@ def coverage(df: DataFrame, column: str, mask: Column) -> DataFrame:
 
 
 def layer_stats(layers: DataFrame, median: bool = True) -> DataFrame:
-    """min, max, count and exact median of each layer, in one grouping."""
+    """min, max, count and exact median of each layer.
+
+    One grouping holds the values of layers up to HELD; a larger layer's median is searched by rank.
+    """
     cols = [F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("value").alias("n")]
-    return layers.groupBy("kind", "layer_id").agg(*cols, *([F.median("value").alias("mid")] if median else []))
+    out = layers.groupBy("kind", "layer_id").agg(*cols)
+    if not median:
+        return out
+    large = [(r.kind, r.layer_id) for r in out.where(F.col("n") > HELD).collect()]
+    if not large:
+        return layers.groupBy("kind", "layer_id").agg(*cols, F.median("value").alias("mid"))
+
+    def one(kind: str, number: int) -> Column:
+        return F.col("kind").eqNullSafe(F.lit(kind)) & F.col("layer_id").eqNullSafe(F.lit(number))
+
+    held = reduce(lambda a, b: a & b, [~one(*x) for x in large])
+    found = out.select("*", F.lit(None).cast("double").alias("mid")).where(~held)
+    for kind, number in large:
+        mid = percentiles(layers.where(one(kind, number)), "value", [0.5])[0]
+        found = found.withColumn("mid", F.when(one(kind, number), F.lit(mid)).otherwise(F.col("mid")))
+    return layers.where(held).groupBy("kind", "layer_id").agg(*cols, F.median("value").alias("mid")).unionByName(found)
 
 
 def check_layers(stats: DataFrame) -> DataFrame:

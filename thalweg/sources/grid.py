@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_written: list[tuple[SparkSession, str]] = []
+
 
 @dataclass(frozen=True)
 class Grid:
@@ -24,8 +29,15 @@ class Grid:
             raise ValueError("a grid needs a size and six affine terms with cells of some size")
 
 
+def check_crs(reference: Grid, crs: str, name: str) -> None:
+    """Raises where both reference systems are named and differ; nothing is transformed."""
+    if reference.crs and crs and reference.crs != crs:
+        raise ValueError(f"{name}: its reference system {crs} is not {reference.crs}")
+
+
 def check_aligned(reference: Grid, other: Grid, name: str) -> None:
-    """Same size, and each affine term within 1e-9."""
+    """Same size, each affine term within 1e-9, and the same reference system where both name one."""
+    check_crs(reference, other.crs, name)
     if (reference.cols, reference.rows) != (other.cols, other.rows):
         raise ValueError(f"{name}: its size {other.cols} x {other.rows} is not {reference.cols} x {reference.rows}")
     if any(abs(a - b) > 1e-9 for a, b in zip(reference.gt, other.gt)):
@@ -101,10 +113,37 @@ def write_lines(lines: DataFrame, path: str) -> None:
     out.withColumn("wkt", F.concat(F.lit("LINESTRING ("), text, F.lit(")"))).write.mode("overwrite").parquet(path)
 
 
+def _shared(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir. A local folder is made only where that is unset in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = getattr(spark, "_thalweg_cells", None) or f"file://{tempfile.mkdtemp(prefix='thalweg-cells-')}"
+        spark._thalweg_cells = base
+    path = f"{base.rstrip('/')}/thalweg-cells-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+@atexit.register
+def _release() -> None:
+    for spark, path in _written:
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session has ended and nothing can be deleted through it
+            return
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoints df in spark.checkpoint.dir, so that plans of rounds stay short and survive lost executors."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not getattr(spark, "_thalweg_checkpoints", None):
-        spark._thalweg_checkpoints = tempfile.mkdtemp(prefix="thalweg-cells-")
-        spark.sparkContext.setCheckpointDir(spark._thalweg_checkpoints)
-    return df.checkpoint()
+    """Writes df to the shared folder and reads it again: plans of rounds stay short, lost executors lose
+    nothing, and joins see the table's size on disk.
+    """
+    path = _shared(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
