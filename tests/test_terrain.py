@@ -177,6 +177,33 @@ def test_accumulation_is_the_same_when_frontiers_are_added_early(spark, monkeypa
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("side", [1, 3, 256])
+def test_accumulation_by_tiles_equals_brute_force(spark, monkeypatch, side):
+    rng = np.random.default_rng(11)
+    dem = rng.permutation(90).reshape(9, 10).astype(float) + np.arange(10) * 9.0
+    dem[4, 3:6] = np.nan
+    want = {k: 1.0 for k in range(90) if not np.isnan(dem.flat[k])}
+    for k in sorted(want, key=lambda k: -dem.flat[k]):
+        r, c = divmod(k, 10)
+        falls = {}
+        for dr, dc in expr.OFFSETS:
+            if 0 <= r + dr < 9 and 0 <= c + dc < 10 and dem[r + dr, c + dc] < dem[r, c]:
+                falls[(r + dr) * 10 + c + dc] = ((dem[r, c] - dem[r + dr, c + dc]) / np.hypot(dr, dc)) ** 2
+        for to, g in falls.items():
+            want[to] += want[k] * g / sum(falls.values())
+    monkeypatch.setattr(flow, "TILE", side)
+    cells = grid(spark, [[None if np.isnan(v) else float(v) for v in row] for row in dem])
+    assert {r.cell_id: r.acc for r in flow.accumulation(cells, 10).collect()} == pytest.approx(want)
+
+
+def test_accumulation_of_nothing_and_of_a_circle(spark):
+    empty = spark.createDataFrame([], "cell_id long, row int, col int, dem double")
+    assert flow.accumulation(empty, 4).count() == 0
+    circle = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0)], "src long, dst long, w double")
+    with pytest.raises(Exception, match="flow runs in a circle"):
+        flow.accumulate(grid(spark, [[2, 1]]), circle, 2).count()
+
+
 def test_files_of_grids_and_lines(spark, tmp_path):
     path = tmp_path / "a.asc"
     path.write_text("ncols 3\nnrows 2\nxllcorner 10\nyllcorner 20\ncellsize 5\nNODATA_value -9999\n1 2 3\n4 5 -9999\n")

@@ -1,9 +1,11 @@
-"""Iterative operators over flow graphs: pointer doubling and frontier accumulation."""
+"""Iterative operators over flow graphs: pointer doubling and accumulation by tiles."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +13,10 @@ from ..sources.grid import cut, union
 from . import neighbour
 from .stats import percentile_normalise
 
-#: Frontiers that accumulate() keeps apart before it adds them up.
+#: Rounds whose results accumulate() keeps apart before it adds them up.
 FRONTIERS = 32
+#: Side of the square of cells that one task of accumulate() holds.
+TILE = 256
 
 
 def trace_start(cells: DataFrame) -> DataFrame:
@@ -64,31 +68,84 @@ def distance(successors: DataFrame, targets: DataFrame, cols: int, dx: float = 1
     return union([*done, active]).select("cell_id", F.when(F.col("hit"), F.col("d")).alias("distance"))
 
 
-def accumulate(cells: DataFrame, weights: DataFrame) -> DataFrame:
-    """(cell_id, acc): each cell's own unit and all that flows into it, frontier by frontier.
+def _through_tile(tile_of):
+    """Kernel: takes the flow that enters a tile down to its sinks and edges, each cell once all above it are done.
 
-    A round touches only the cells that flow reaches in it; frontiers are added up at the end, and
-    whenever FRONTIERS of them have gathered.
+    Rows inside tell what passed each cell; the others what leaves for cells of other tiles.
     """
-    weights = cut(weights)
-    frontier = cells.where("dem is not null").select("cell_id", F.lit(1.0).alias("f"))
-    parts = [frontier]
+    schema = pa.schema([("cell_id", pa.int64()), ("f", pa.float64()), ("inside", pa.bool_())])
+
+    def run(key: tuple, entering: pa.Table, weights: pa.Table) -> pa.Table:
+        cell, f = entering["cell_id"].to_numpy(), entering["f"].to_numpy()
+        if not len(cell):
+            return schema.empty_table()
+        src, dst, w = (weights[c].to_numpy() for c in ("src", "dst", "w"))
+        inner = tile_of(dst) == key[0].as_py()
+        nodes = np.unique(np.concatenate([cell, src, dst[inner]]))
+        total = np.bincount(np.searchsorted(nodes, cell), weights=f, minlength=len(nodes))
+        s, d, share = np.searchsorted(nodes, src[inner]), np.searchsorted(nodes, dst[inner]), w[inner]
+        order = np.argsort(s, kind="stable")
+        s, d, share = s[order], d[order], share[order]
+        first = np.searchsorted(s, np.arange(len(nodes) + 1))
+        above = np.bincount(d, minlength=len(nodes))
+        ready, seen = np.flatnonzero(above == 0), 0
+        while len(ready):
+            seen += len(ready)
+            n = first[ready + 1] - first[ready]
+            at = np.repeat(first[ready] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            np.add.at(total, d[at], total[s[at]] * share[at])
+            np.subtract.at(above, d[at], 1)
+            below = np.unique(d[at])
+            ready = below[above[below] == 0]
+        if seen < len(nodes):
+            raise ValueError("flow runs in a circle")
+        away, where = np.unique(dst[~inner], return_inverse=True)
+        out = np.bincount(where, weights=total[np.searchsorted(nodes, src[~inner])] * w[~inner], minlength=len(away))
+        held, left = total > 0, out > 0
+        rows = [np.concatenate(x) for x in ((nodes[held], away[left]), (total[held], out[left]))]
+        return pa.table([*rows, np.arange(len(rows[0])) < held.sum()], schema=schema)
+
+    return run
+
+
+def accumulate(cells: DataFrame, weights: DataFrame, cols: int) -> DataFrame:
+    """(cell_id, acc): each cell's own unit and all that flows into it, tile by tile.
+
+    A round takes the flow that enters a tile through the whole of it and hands what leaves to the next
+    round, so that rounds are as many as the tiles that the longest path enters, and a task holds one
+    tile. What passed a cell is added up at the end, and whenever FRONTIERS rounds have gathered. Only
+    tiles that flow enters take part in a round. Weights must run downhill: a circle within a tile raises
+    an error.
+    """
+    tile, wide = TILE, -(-cols // TILE)
+
+    def tile_of(cell):
+        return cell // cols // tile * wide + cell % cols // tile
+
+    def tiled(df: DataFrame, column: str) -> DataFrame:
+        return df.withColumn("tile", F.expr(f"{column} div {cols} div {tile} * {wide} + {column} % {cols} div {tile}"))
+
+    weights = cut(tiled(weights, "src"))
+    frontier = tiled(cells.where("dem is not null and cell_id is not null").select("cell_id", F.lit(1.0).alias("f")), "cell_id")
+    own, parts = weights, []
 
     def total() -> DataFrame:
         return union(parts).groupBy("cell_id").agg(F.sum("f").alias("f"))
 
     while True:
-        frontier = cut(frontier.join(weights, F.col("cell_id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("f") * F.col("w")).alias("f")).withColumnRenamed("dst", "cell_id"))
-        if not frontier.limit(1).count():
+        moved = cut(frontier.groupBy("tile").cogroup(own.groupBy("tile")).applyInArrow(_through_tile(tile_of), "cell_id bigint, f double, inside boolean"))
+        parts.append(moved.where("inside").select("cell_id", "f"))
+        if not moved.where("not inside").limit(1).count():
             break
-        parts.append(frontier)
         if len(parts) > FRONTIERS:
             parts = [cut(total())]
+        frontier = tiled(moved.where("not inside").groupBy("cell_id").agg(F.sum("f").alias("f")), "cell_id")
+        own = weights.join(frontier.select("tile").distinct(), "tile", "left_semi")
     return total().withColumnRenamed("f", "acc")
 
 
 def accumulation(cells: DataFrame, cols: int, exponent: float = 2.0) -> DataFrame:
-    return accumulate(cells, neighbour.flow_weights(cells, cols, exponent))
+    return accumulate(cells, neighbour.flow_weights(cells, cols, exponent), cols)
 
 
 def connectivity(cells: DataFrame, cols: int) -> DataFrame:
