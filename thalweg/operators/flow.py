@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -113,34 +114,40 @@ def accumulate(cells: DataFrame, weights: DataFrame, cols: int) -> DataFrame:
 
     A round takes the flow that enters a tile through the whole of it and hands what leaves to the next
     round, so that rounds are as many as the tiles that the longest path enters, and a task holds one
-    tile. What passed a cell is added up at the end, and whenever FRONTIERS rounds have gathered. Only
+    tile. Every other round shifts the tiles by half their side, lest flow along an edge cross it again
+    and again. What passed a cell is added up at the end, and whenever FRONTIERS rounds have gathered. Only
     tiles that flow enters take part in a round. Weights must run downhill: a circle within a tile raises
     an error.
     """
-    tile, wide = TILE, -(-cols // TILE)
+    side, wide = TILE, cols // TILE + 2
 
-    def tile_of(cell):
-        return cell // cols // tile * wide + cell % cols // tile
+    def tile_of(cell, shift: int):
+        """Number of a cell's tile; wide leaves room for the shift."""
+        return (cell // cols + shift) // side * wide + (cell % cols + shift) // side
 
-    def tiled(df: DataFrame, column: str) -> DataFrame:
-        return df.withColumn("tile", F.expr(f"{column} div {cols} div {tile} * {wide} + {column} % {cols} div {tile}"))
+    def tiled(df: DataFrame, column: str, shift: int) -> DataFrame:
+        return df.withColumn("tile", F.expr(f"({column} div {cols} + {shift}) div {side} * {wide} + ({column} % {cols} + {shift}) div {side}"))
 
-    weights = cut(tiled(weights, "src"))
-    frontier = tiled(cells.where("dem is not null and cell_id is not null").select("cell_id", F.lit(1.0).alias("f")), "cell_id")
-    own, parts = weights, []
+    weights = cut(weights)
+    frontier = cells.where("dem is not null and cell_id is not null").select("cell_id", F.lit(1.0).alias("f"))
+    parts, shift = [], 0
 
     def total() -> DataFrame:
         return union(parts).groupBy("cell_id").agg(F.sum("f").alias("f"))
 
     while True:
-        moved = cut(frontier.groupBy("tile").cogroup(own.groupBy("tile")).applyInArrow(_through_tile(tile_of), "cell_id bigint, f double, inside boolean"))
+        entering, own = tiled(frontier, "cell_id", shift), tiled(weights, "src", shift)
+        if parts:
+            own = own.join(entering.select("tile").distinct(), "tile", "left_semi")
+        kernel = _through_tile(partial(tile_of, shift=shift))
+        moved = cut(entering.groupBy("tile").cogroup(own.groupBy("tile")).applyInArrow(kernel, "cell_id bigint, f double, inside boolean"))
         parts.append(moved.where("inside").select("cell_id", "f"))
         if not moved.where("not inside").limit(1).count():
             break
         if len(parts) > FRONTIERS:
             parts = [cut(total())]
-        frontier = tiled(moved.where("not inside").groupBy("cell_id").agg(F.sum("f").alias("f")), "cell_id")
-        own = weights.join(frontier.select("tile").distinct(), "tile", "left_semi")
+        frontier = moved.where("not inside").groupBy("cell_id").agg(F.sum("f").alias("f"))
+        shift = side // 2 - shift
     return total().withColumnRenamed("f", "acc")
 
 
