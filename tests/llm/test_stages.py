@@ -130,6 +130,12 @@ def test_op1_learns_from_every_document(spark):
     assert odd.learned + odd.held == 2 * 9001 + 4 * 375
 
 
+def test_op1_deals_equal_rows_over_training_and_threshold(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "EQUAL", 700)
+    net = secrets.train(spark.range(3000).selectExpr("cast(null as long) as doc_id", "'the same token=abcdefgh123 text' as text"))
+    assert net.learned + net.held == 6000 and 1000 < net.held < 1400 and 0 < net.threshold <= 0.5
+
+
 def test_op1_threshold_keeps_its_share_of_all_counted_secrets():
     net, r = secrets.CharNet(), np.random.default_rng(2)
     z, y, n = np.arange(-900, 900), np.arange(1800) % 2, r.integers(1, 1000, 1800)

@@ -31,8 +31,8 @@ BEFORE, AFTER = 24, 8
 MADE = 1500
 #: Rounds over all training findings, dealt over one bucket for EACH of them, BUCKETS at most.
 ROUNDS, EACH, BUCKETS = 4, 4096, 512
-#: Findings, and bytes of codes, that a task holds at once.
-BLOCK, BLOCK_BYTES = 4096, 4 << 20
+#: Findings, and bytes of codes, that a task holds at once; equal findings that are numbered at once.
+BLOCK, BLOCK_BYTES, EQUAL = 4096, 4 << 20, 1 << 16
 #: Places that a convolution takes at once.
 PIECE = 4096
 #: Logits count in steps of 1 / STEP between -LIMIT and LIMIT.
@@ -283,22 +283,26 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id") -> CharNet:
     """Fits the network on the labelled findings of all documents.
 
     A first fit on made findings alone is where every bucket begins. In each round every bucket trains a copy on all
-    its findings, and the copies are averaged by their findings. A hash of text, key and place deals findings
-    over buckets, and one in five to those that don't train: scale, shift and threshold come from counts of all of
-    these by logit and label. The driver holds BUCKETS copies of the network, or the counts, at most. Buckets
-    are sorted, so that neither partitions nor reruns change the fit.
+    its findings, and the copies are averaged by their findings. A hash of text, key, place and number among equal
+    ones deals findings over buckets, and one in five to those that don't train: scale, shift and threshold come from
+    counts of all of these by logit and label. The driver holds BUCKETS copies of the network, or the counts, at
+    most. Buckets are sorted, so that neither partitions nor reruns change the fit.
     """
     net = CharNet().fit(*made_findings([], MADE))
-    found = stored(labelled(docs, text, key))
-    n = found.count()
+    found = stored(labelled(docs, text, key).groupBy("h", "place", "codes", "label").agg(F.count("*").alias("rows")))
+    n = found.agg(F.sum("rows")).first()[0]
     if not n:
         return net
+    # equal rows give equal findings; a number, in two steps so that no array is long, deals them out too
+    found = found.withColumn("many", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / EQUAL))))
+    found = found.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(EQUAL).cast("long"), F.col("rows") - F.col("many") * EQUAL))))
+    own = ("h", "place", "many", "again")
     buckets = max(1, min(BUCKETS, n // EACH))
-    held = F.pmod(F.xxhash64("h", "place"), F.lit(5)) == 0
-    dealt = found.withColumn("bucket", F.pmod(F.hash("h", "place"), F.lit(buckets))).withColumn("held", held)
+    held = F.pmod(F.xxhash64(*own), F.lit(5)) == 0
+    dealt = found.withColumn("bucket", F.pmod(F.hash(*own), F.lit(buckets))).withColumn("held", held)
 
     def by_bucket(some: Column) -> DataFrame:
-        rows = dealt.where(some).repartition(buckets, "bucket").sortWithinPartitions("bucket", "h", "place", "codes")
+        rows = dealt.where(some).repartition(buckets, "bucket").sortWithinPartitions("bucket", *own, "codes")
         return rows.select("bucket", "codes", "label")
 
     def learn(turn: int):
